@@ -54,9 +54,10 @@ def cut_blocks(b: bytes) -> list[bytes]:
 
 
 class Tablet:
-    """ids: doc_ids, NO_ID for null. off: where each text starts in data."""
+    """ids: doc_ids, NO_ID for null. off: where each text starts in data. number: the tablet's."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, number: int = 0):
+        self.number = number
         ids, off, data = cut_blocks(content)
         self.ids, self.off = expand(ids, np.int64), expand(off, np.int64)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.zeros(0, np.uint8)
@@ -137,7 +138,7 @@ def ask(tabs: DataFrame, make: Callable[[Tablet], Iterator[tuple[int, bytes]]],
     """Requests of each tablet: make(tablet) or, with answers known, make(tablet, {(kind, segment): answer}) gives (segment, block)."""
 
     def rows(tablet: int, content: bytes, *args) -> pa.RecordBatch:
-        got = list(make(Tablet(content), *args))
+        got = list(make(Tablet(content, tablet), *args))
         return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([tablet] * len(got), pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["segment", "tablet", "block"])
 
     return _each(tabs, rows, known, REQUEST)

@@ -108,12 +108,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, most: int = 1024, label_col: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, most: int = 1024, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(sorted hashes, weights). train_limit bounds the ids that are broadcast and the documents that are read twice: once to
     count in how many documents of either label each feature is, once to take the sentences' chosen features to the driver."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_limit)
-    rows = settle(id_text(docs).join(F.broadcast(own), "doc_id").select("y", "text"))
+    rows = settle(id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id").select("y", "text"))
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     none = np.zeros(0, np.uint64), np.zeros(0)
     if len(sizes) < 2:
@@ -150,6 +150,21 @@ def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, most: int
     return names, fit(got, len(names))
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_limit: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose score reaches threshold; all columns as they were."""
+    names, weights = train(docs, labels, train_limit, id_col=id_col, text_col=text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffers(b.column(at).cast(pa.string()))
+            for i, j in slices(off, 4 << 20):
+                total, _, _ = score(data[off[i] : off[j]], off[i : j + 1] - off[i], names, weights)
+                yield b.slice(i, j - i).filter(pa.array(total < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_limit: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and the worst sentence's first byte and score."""
     d = id_text(docs, id_col, text_col)

@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .sais import permuted_prefixes, suffix_array
 from .tablets import NO_ID, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
-from .textbytes import U64, rolling
+from .textbytes import U64, rolling, slices
 
 ANCHORS, REPEATS, GRAM = 0, 1, 16
+#: A shard is worked through in so many parts, by further bits of the anchors' hashes.
+PART_BITS = 3
+PARTS = 1 << PART_BITS
 _BASE, _PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LOW = U64(0xFFFFFFFF)
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -39,28 +42,33 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - k)], a[w - k :]) if w > k else a
 
 
+def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    n, gram = len(data), min(GRAM, length)
+    long = np.flatnonzero(np.diff(off) >= length)
+    if not len(long):
+        return None
+    values = data.astype(np.uint64) + U64(1)
+    at = np.arange(n - gram + 1)
+    h = rolling(values, _BASE, at, at + gram)
+    least = sliding_min((h & ~LOW) | at.astype(np.uint64), length - gram + 1)
+    edge = np.bincount(off[long], minlength=n + 2) - np.bincount(off[long + 1] - length + 1, minlength=n + 2)
+    v = np.flatnonzero(np.cumsum(edge)[: len(least)] > 0)
+    anchor = (least[v] & LOW).astype(np.int64)
+    new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
+    first, last = v[new], v[np.append(new[1:], True)]
+    return first, last, h[anchor[new]], rolling(values, _PIECE, first, last + length)
+
+
 class Pieces:
-    """A tablet's pieces: first and last start of their strings, and their anchors' hashes."""
-
-    def __init__(self, t: Tablet, length: int):
-        n, gram = len(t.data), min(GRAM, length)
-        self.first = self.last = np.zeros(0, np.int64)
-        self.key = np.zeros(0, np.uint64)
-        if n < length:
-            return
-        self.values = t.data.astype(np.uint64) + U64(1)
-        at = np.arange(n - gram + 1)
-        h = rolling(self.values, _BASE, at, at + gram)
-        least = sliding_min((h & ~LOW) | at.astype(np.uint64), length - gram + 1)
-        long = np.flatnonzero(np.diff(t.off) >= length)
-        edge = np.bincount(t.off[long], minlength=n + 2) - np.bincount(t.off[long + 1] - length + 1, minlength=n + 2)
-        v = np.flatnonzero(np.cumsum(edge)[: len(least)] > 0)
-        if not len(v):
-            return
-        anchor = (least[v] & LOW).astype(np.int64)
-        new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
-        self.first, self.last = v[new], v[np.append(new[1:], True)]
-        self.key = h[anchor[new]]
+    """A tablet's pieces: first and last start of their strings, their anchors' hashes and their own. Slices of documents are taken one after another, which bounds the memory."""
+
+    def __init__(self, t: Tablet, length: int, slice_bytes: int = 1 << 20):
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for a, b in slices(t.off, slice_bytes):
+            lo, hi = int(t.off[a]), int(t.off[b])
+            if hi - lo >= length and (got := _pieces(t.data[lo:hi], t.off[a : b + 1] - lo, length)):
+                parts.append((got[0] + lo, got[1] + lo, got[2], got[3]))
+        self.first, self.last, self.key, self.content = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return distinct(row_cells(self.key, 0, bits), np.ones(len(self.key), np.int64))
@@ -72,7 +80,7 @@ class Pieces:
         own = np.flatnonzero(again[np.searchsorted(cells, row_cells(self.key, 0, bits))]) if len(cells) else np.zeros(0, np.int64)
         if not len(own):
             return own, np.zeros(0, bool)
-        content = rolling(self.values, _PIECE, self.first[own], self.last[own] + length)
+        content = self.content[own]
         ids = t.ids[np.searchsorted(t.off, self.first[own], "right") - 1]
         order = np.lexsort((self.first[own], ids, content, self.key[own]))
         content, own = content[order], own[order]
@@ -85,44 +93,59 @@ def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
 
 
+def late_strings(text: np.ndarray, size: np.ndarray, ids: np.ndarray, tab: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+    """For each string of each piece, whether an equal one starts earlier. Pieces lie in text one after another."""
+    begin = np.cumsum(size) - size
+    content = rolling(text.astype(np.uint64) + U64(1), _PIECE, begin, begin + size)
+    order = np.lexsort((pos, tab, ids, content))
+    first = order[np.append(True, content[order][1:] != content[order][:-1])]
+    # One text of the earliest pieces, each with a mark behind it. No byte of UTF-8 reaches 254.
+    own = size[first]
+    t = np.ones(int(own.sum()) + len(first) + 1, np.uint8)
+    t[-1] = 0
+    at = np.cumsum(own + 1) - own - 1
+    t[np.arange(int(own.sum())) + np.repeat(at - (np.cumsum(own) - own), own)] = gather(text, begin[first], own) + np.uint8(2)
+    sa = suffix_array(t.astype(np.int16), 256)
+    common = permuted_prefixes(t, sa, length)[sa]
+    # Each string's time: its document, then its start.
+    _, owner = np.unique(np.stack([ids[first], tab[first]], axis=1), axis=0, return_inverse=True)
+    count = own - length + 1
+    where = gather(np.arange(len(t)), at, count)
+    when = np.full(len(t), -1, np.int64)
+    when[where] = np.repeat((owner.ravel() << 32) + pos[first], count) + (where - np.repeat(at, count))
+    group = np.cumsum(common < length)
+    held = when[sa] >= 0
+    group, p = group[held], sa[held]
+    edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.repeat(np.minimum.reduceat(when[p], edge), np.diff(np.append(edge, len(p))))
+    late = np.zeros(len(t), bool)
+    late[p] = when[p] > least
+    # Pieces that aren't the earliest of their kind are repeats all over.
+    spans = size - length + 1
+    out = np.ones(int(spans.sum()), bool)
+    starts = np.cumsum(spans) - spans
+    out[np.repeat(starts[first] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))] = late[where]
+    return out
+
+
 def find_repeats(length: int):
+    """Answers a shard's blocks, one part of it after another: equal strings share their part, and a part's arrays are small."""
+
     def reply(segment: int, blocks: list[bytes]) -> list[bytes]:
         parts = [cut_blocks(b) for b in blocks]
         sizes = [expand(p[1], np.uint32).astype(np.int64) for p in parts]
-        ids, pos = np.concatenate([expand(p[2], np.int64) for p in parts]), np.concatenate([expand(p[3], np.int64) for p in parts])
-        tab = np.repeat([int.from_bytes(p[0], "little") for p in parts], list(map(len, sizes)))
+        n = list(map(len, sizes))
+        size, ids, pos = np.concatenate(sizes), np.concatenate([expand(p[2], np.int64) for p in parts]), np.concatenate([expand(p[3], np.int64) for p in parts])
+        tab, of = np.repeat([int.from_bytes(p[0], "little") for p in parts], n), np.repeat(np.arange(len(parts)), n)
         text = np.concatenate([expand(p[4], np.uint8) for p in parts])
-        of, size = np.repeat(np.arange(len(parts)), list(map(len, sizes))), np.concatenate(sizes)
-        begin = np.cumsum(size) - size
-        content = rolling(text.astype(np.uint64) + U64(1), _PIECE, begin, begin + size)
-        order = np.lexsort((pos, tab, ids, content))
-        first = order[np.append(True, content[order][1:] != content[order][:-1])]
-        # One text of the earliest pieces, each with a mark behind it. No byte of UTF-8 reaches 254.
-        own = size[first]
-        t = np.ones(int(own.sum()) + len(first) + 1, np.uint8)
-        t[-1] = 0
-        at = np.cumsum(own + 1) - own - 1
-        t[np.arange(int(own.sum())) + np.repeat(at - (np.cumsum(own) - own), own)] = gather(text, begin[first], own) + np.uint8(2)
-        sa = suffix_array(t.astype(np.int16), 256)
-        common = permuted_prefixes(t, sa, length)[sa]
-        # Each string's time: its document, then its start.
-        _, owner = np.unique(np.stack([ids[first], tab[first]], axis=1), axis=0, return_inverse=True)
-        count = own - length + 1
-        where = gather(np.arange(len(t)), at, count)
-        when = np.full(len(t), -1, np.int64)
-        when[where] = np.repeat((owner.ravel() << 32) + pos[first], count) + (where - np.repeat(at, count))
-        group = np.cumsum(common < length)
-        held = when[sa] >= 0
-        group, p = group[held], sa[held]
-        edge = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        least = np.repeat(np.minimum.reduceat(when[p], edge), np.diff(np.append(edge, len(p))))
-        late = np.zeros(len(t), bool)
-        late[p] = when[p] > least
-        # Pieces that aren't the earliest of their kind are repeats all over.
-        spans = size - length + 1
-        out = np.ones(int(spans.sum()), bool)
-        starts = np.cumsum(spans) - spans
-        out[np.repeat(starts[first] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))] = late[where]
+        part = np.concatenate([np.repeat(np.arange(PARTS), expand(p[5], np.uint32)) for p in parts])
+        begin, spans = np.cumsum(size) - size, size - length + 1
+        out, at = np.zeros(int(spans.sum()), bool), np.cumsum(spans) - spans
+        for k in range(PARTS):
+            i = np.flatnonzero(part == k)
+            if len(i):
+                late = late_strings(gather(text, begin[i], size[i]), size[i], ids[i], tab[i], pos[i], length)
+                out[np.arange(len(late)) + np.repeat(at[i] - (np.cumsum(spans[i]) - spans[i]), spans[i])] = late
         cuts = np.cumsum(np.bincount(of, spans, len(parts)).astype(np.int64))[:-1]
         return [np.packbits(x).tobytes() for x in np.split(out, cuts)]
 
@@ -149,7 +172,8 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4
         size, at = x.last[own] - x.first[own] + length, 0
         for s, n in segment_sizes(x.key[own], 64, log_shards):
             i = slice(at, at + n)
-            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[own][i]), squeeze(gather(t.data, x.first[own][i], size[i]))])
+            of = (x.key[own][i] >> U64(64 - log_shards - PART_BITS) & U64(PARTS - 1)).astype(np.int64)
+            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[own][i]), squeeze(gather(t.data, x.first[own][i], size[i])), squeeze(np.bincount(of, minlength=PARTS).astype(np.uint32))])
             at += n
 
     repeats = settle(answer(ask(tabs, pieces, again), find_repeats(length), REPEATS))

@@ -1,12 +1,13 @@
-"""Files by any store that pyarrow's file systems reach, and listings by Spark."""
+"""Files by any store that pyarrow's file systems reach, and listings."""
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-LISTED = "path string, length long"
+LISTED = "path string, name string, length long"
 
 
 def store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -22,22 +23,22 @@ def read_range(path: str, offset: int, size: int) -> bytes:
     return out
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def is_directory(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
 
 
 def listing(spark: SparkSession, directory: str, glob: str) -> DataFrame:
-    """path, name, length of the regular files of a folder, not of folders below it. Contents are not read."""
-    if not exists(spark, directory):
+    """path, name, length of the regular files of a folder, empty ones too, not of folders below it. Names are as many as shards, which the driver lists; contents are not read."""
+    fs, p = _hadoop(spark, directory)
+    if not fs.exists(p):
         raise FileNotFoundError(directory)
-    if not is_directory(spark, directory):
+    if not fs.getFileStatus(p).isDirectory():
         raise NotADirectoryError(directory)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "false").load(directory).select("path", "length")
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    found = [(str(f.getPath()), f.getPath().getName(), f.getLen()) for f in fs.listStatus(p) if f.isFile()]
+    return spark.createDataFrame([f for f in found if fnmatchcase(f[1], glob)], LISTED)

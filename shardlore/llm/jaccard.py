@@ -7,7 +7,7 @@
    similar share l shingles of both prefixes. Each document takes the l whose estimated cost, the postings it meets and the
    candidates it leaves to verify, is least; a pair uses the smaller l of its two.
 4. Pairs that share enough of their prefixes are verified exactly on their whole sets. Shingles whose lists are longer than
-   `hot` would make pairs with the square of the list's length: there one document of the list is compared to the others of
+   `hot` would make pairs with the square of the list's length: there a few documents of the list are compared to the others of
    other components, list by list, until few pairs of different components are left; those are then compared all. What is
    already one component needs no pair, and nothing else is skipped.
 5. Links make components.
@@ -32,6 +32,8 @@ from .textbytes import U64, lower_ascii, mix, window_hashes, word_bounds, word_h
 
 COUNTS, MEMBERS = 0, 9
 DEPTHS = 4
+#: Documents of a long list that meet the others in a round, and the rounds after which what is left is compared all.
+LEADERS, LAST = 4, 6
 
 
 class Sets:
@@ -135,7 +137,7 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
     short, long = postings.where(F.col("size") <= hot), settle(postings.where(F.col("size") > hot).select("token", "key", "n", "level", "ell"))
 
     def sized(a: str, b: str):
-        return (100 * F.least(a, b) >= per_hundred * F.greatest(a, b)) if a != b else F.lit(True)
+        return 100 * F.least(a, b) >= per_hundred * F.greatest(a, b)
 
     def side(p: DataFrame, s: str) -> DataFrame:
         return p.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "level", "ell")))
@@ -145,17 +147,17 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
     pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), F.min(F.least("ell_a", "ell_b")).alias("ell"))
     # Shingles with long lists aren't counted here, so as many may be missing.
     pairs = pairs.where("shared >= ell").unionByName(pairs.where("shared < ell").join(hot_of.select(F.col("key").alias("key_a"), F.col("n_hot").alias("x")), "key_a").join(hot_of.select(F.col("key").alias("key_b"), F.col("n_hot").alias("y")), "key_b").where(F.col("shared") + F.least("x", "y") >= F.col("ell")).select("key_a", "key_b", "shared", "ell"))
-    pairs = settle(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
+    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar. The smaller key's set travels to the other's tablet."""
         ship = settle(pairs.select("a", "b", F.shiftright("a", 20).alias("ta"), F.shiftright("b", 20).alias("tb")))
 
         def sets(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
-            t = Tablet(content)
             asked = np.frombuffer(answers.get((MEMBERS, 1), b""), "<i8").reshape(-1, 2)  # (place, tablet to send it to)
             if not len(asked):
                 return _packets([], [], [])
+            t = Tablet(content)
             only = np.zeros(len(t.ids), bool)
             only[asked[:, 0]] = True
             x = Sets(t, size, only)
@@ -197,38 +199,35 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
         mail = sent.select("tablet", "key", F.lit(None).cast("long").alias("other"), "body").unionByName(ship.select(F.col("tb").alias("tablet"), F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("body")))
         return settle(tabs.select("tablet", "content").groupBy("tablet").cogroup(mail.groupBy("tablet")).applyInArrow(check, "a long, b long"))
 
-    def apart(links: DataFrame) -> DataFrame:
-        """Long lists with each document's component so far."""
+    def stars(now: DataFrame, rounds: int) -> DataFrame:
+        """A few documents of each list, others in each round, meet those of other components. Lists of one group choose the same ones."""
+        seeds = range(LEADERS * rounds, LEADERS * rounds + LEADERS)
+        picks = [F.min(F.struct(F.xxhash64("component", F.lit(i)).alias("o"), F.xxhash64("key", F.lit(i)).alias("p"), "key", "component", "n")) for i in seeds]
+        lead = now.groupBy("token").agg(F.array(*picks).alias("s")).select("token", F.explode(F.array_distinct("s")).alias("s"))
+        star = now.join(lead, "token").where(F.col("component") != F.col("s.component")).where(100 * F.least("n", "s.n") >= per_hundred * F.greatest("n", "s.n"))
+        return star.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b")).distinct()
+
+    rounds, tried = 0, settle(pairs.unionByName(stars(long.withColumn("component", F.col("key")), 0)).distinct())
+    links = verified(tried)
+    while True:
         c = components(links)
-        return settle(long.join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-
-    links = verified(pairs)
-    if long.limit(1).count():
-        rounds, tried = 0, None
-        while True:
-            now = apart(links)
-            sizes = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            left = sizes.agg(F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2), F.lit(0.0)), F.sum("t")).first()
-            if not left[0]:
-                break
-            mixed = now.join(sizes.where("t * t > q").select("token"), "token")
-            if rounds < 6 and left[0] > 4 * left[1]:
-                # One document of each list, another in each round, meets those of other components.
-                w = F.min(F.struct(F.xxhash64("component", F.lit(rounds)).alias("o"), F.xxhash64("key", F.lit(rounds)).alias("p"), "key", "component", "n")).alias("s")
-                star = mixed.join(mixed.groupBy("token").agg(w), "token").where(F.col("component") != F.col("s.component"))
-                new = star.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b"), F.col("n").alias("n_a"), F.col("s.n").alias("n_b"))
-            else:
-                x, y = side(mixed, "a").join(mixed.select("key", "component").distinct().withColumnRenamed("key", "key_a").withColumnRenamed("component", "of_a"), "key_a"), side(mixed, "b").join(mixed.select("key", "component").distinct().withColumnRenamed("key", "key_b").withColumnRenamed("component", "of_b"), "key_b")
-                new = x.join(y, "token").where("key_a < key_b and of_a <> of_b").where(F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "n_a", "n_b")
-                rounds = 99
-            new = new.where(sized("n_a", "n_b")).select("a", "b").distinct()
-            new = settle(new.join(pairs if tried is None else tried, ["a", "b"], "left_anti"))
-            links = settle(links.unionByName(verified(new)))
-            if rounds == 99:
-                break
-            tried = settle((pairs if tried is None else tried).unionByName(new))
+        now = settle(long.join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+        sizes = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = sizes.agg(F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2), F.lit(0.0)), F.sum("t")).first()
+        if rounds == LAST or not left[0]:
+            break
+        mixed = now.join(sizes.where("t * t > q").select("token"), "token")
+        if rounds + 1 < LAST and left[0] > 4 * left[1]:
             rounds += 1
-    c = components(links)
+            new = stars(mixed, rounds)
+        else:
+            rounds = LAST
+            own = mixed.select("token", "key", "n", "level", "ell", "component")
+            x, y = (own.select("token", *(F.col(k).alias(f"{k}_{s}") for k in ("key", "n", "level", "ell", "component"))) for s in "ab")
+            new = x.join(y, "token").where("key_a < key_b and component_a <> component_b").where(F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b")).where(sized("n_a", "n_b")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+        new = settle(new.join(tried, ["a", "b"], "left_anti"))
+        links = settle(links.unionByName(verified(new)))
+        tried = tried.unionByName(new)
     named = reps.withColumn("key", key).join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").select("n", "sig_a", "sig_b", F.col("key").alias("representative"), "component_id")

@@ -1,0 +1,51 @@
+import corpus_pipeline
+from shardlore.llm import decontaminate, secrets, toxicity
+from shardlore.llm.common import settle
+
+from . import brute
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns = docs.columns
+    labels, bench = spark.read.parquet(f"{DIR}/labels.parquet"), spark.read.parquet(f"{DIR}/benchmark.parquet")
+    want = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before = want
+        if name == "toxicity":
+            gone = {r.doc_id for r in toxicity.toxicity(docs, labels).where("predicted = 1").collect()}
+            want = {i: t for i, t in before.items() if i not in gone}
+        elif name == "near_duplicates":
+            want = {i: before[i] for i, (_, c) in brute.classes(list(before.items())).items() if c == i}
+        elif name == "decontamination":
+            gone = {r.doc_id for r in decontaminate.contamination(docs, bench).where("contaminated").collect()}
+            want = {i: t for i, t in before.items() if i not in gone}
+        elif name == "secrets":
+            found = {}
+            for f in secrets.scan(docs).where("is_secret").collect():
+                found.setdefault(f.doc_id, []).append(f.secret)
+            want = dict(before)
+            for i, own in found.items():
+                for s in own:
+                    want[i] = want[i].replace(s, "<secret>")
+        docs = settle(stage(spark, docs, DIR))
+        if name == "packing":
+            assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == set(before)
+            break
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert {r.doc_id: r.text for r in rows} == want and len(rows) == len(want) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_without_ids_and_empty(spark):
+    cols = "doc_id long, text string, lang string, source string, n_chars long, _text string"
+    docs = spark.createDataFrame([(None, "the same words in this text here", "en", "s", 1, "x"), (4, "the same words in this text here", "en", None, 1, "x"), (5, None, None, None, None, None)], cols)
+    for data in (docs, docs.limit(0)):
+        d = data
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = settle(stage(spark, d, DIR))
+            assert d.columns == docs.columns
+        assert d.count() == data.count()
+        corpus_pipeline.STAGES[-1][1](spark, d, DIR).collect()

@@ -3,7 +3,7 @@
 Every string of `length` bytes has an anchor: the k-gram in it whose hash is least, the leftmost of equals. Neighbouring strings
 with one anchor make a piece of text. First pass: tablets ask which anchors occur again anywhere; pieces of anchors that don't
 hold nothing repeated. Second pass: the other pieces go to shards by their anchor's hash, so equal strings meet in one shard. A
-tablet sends equal pieces once, and a shard keeps the earliest of equal pieces. Each shard builds one suffix array of its pieces
+tablet sends equal pieces once, and a shard keeps the earliest of equal pieces. Pieces of an anchor that occurs everywhere are spread by the text beside it too. Each shard builds one suffix array of its pieces
 by induced sorting and its permuted common prefixes; suffixes that share `length` bytes lie side by side, and all but the
 earliest of them are repeats. Third pass: tablets remove the bytes that repeats cover.
 
@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from .common import settle, table
 from .sais import permuted_prefixes, suffix_array
 from .tablets import NO_ID, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
-from .textbytes import U64, rolling, slices
+from .textbytes import U64, mix, rolling, slices
 
 ANCHORS, REPEATS, GRAM = 0, 1, 16
+#: Anchors that occur so often, or more, are told apart by the text beside them.
+HOT = 200
 #: A shard is worked through in so many parts, by further bits of the anchors' hashes.
 PART_BITS = 3
 PARTS = 1 << PART_BITS
@@ -42,7 +44,7 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - k)], a[w - k :]) if w > k else a
 
 
-def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
     n, gram = len(data), min(GRAM, length)
     long = np.flatnonzero(np.diff(off) >= length)
     if not len(long):
@@ -56,35 +58,56 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     anchor = (least[v] & LOW).astype(np.int64)
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
     first, last = v[new], v[np.append(new[1:], True)]
-    return first, last, h[anchor[new]], rolling(values, _PIECE, first, last + length)
+    return first, last, h[anchor[new]], rolling(values, _PIECE, first, last + length), anchor[new]
 
 
 class Pieces:
     """A tablet's pieces: first and last start of their strings, their anchors' hashes and their own. Slices of documents are taken one after another, which bounds the memory."""
 
     def __init__(self, t: Tablet, length: int, slice_bytes: int = 1 << 20):
-        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.uint64, np.int64))]
         for a, b in slices(t.off, slice_bytes):
             lo, hi = int(t.off[a]), int(t.off[b])
             if hi - lo >= length and (got := _pieces(t.data[lo:hi], t.off[a : b + 1] - lo, length)):
-                parts.append((got[0] + lo, got[1] + lo, got[2], got[3]))
-        self.first, self.last, self.key, self.content = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((got[0] + lo, got[1] + lo, got[2], got[3], got[4] + lo))
+        self.first, self.last, self.key, self.content, self.anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return distinct(row_cells(self.key, 0, bits), np.ones(len(self.key), np.int64))
 
-    def repeated(self, t: Tablet, length: int, answers: dict, bits: int, log_segments: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces whose anchor occurs again, equal ones together in order, and which of them are the first of their kind here."""
+    def repeated(self, t: Tablet, length: int, answers: dict, bits: int, log_segments: int) -> np.ndarray:
+        """Keeps the pieces whose anchor occurs again, in order of key, equal ones together; returns which are the first of their kind here."""
         cells = self.cells(bits)[0]
-        again = answered_bits(answers, ANCHORS, segment_sizes(cells, bits, log_segments))
-        own = np.flatnonzero(again[np.searchsorted(cells, row_cells(self.key, 0, bits))]) if len(cells) else np.zeros(0, np.int64)
-        if not len(own):
-            return own, np.zeros(0, bool)
-        content = self.content[own]
-        ids = t.ids[np.searchsorted(t.off, self.first[own], "right") - 1]
-        order = np.lexsort((self.first[own], ids, content, self.key[own]))
-        content, own = content[order], own[order]
-        return own, np.append(True, (content[1:] != content[:-1]) | (self.key[own][1:] != self.key[own][:-1]))
+        got = [expand(answers[ANCHORS, s], np.uint8) for s, _ in segment_sizes(cells, bits, log_segments)]
+        count = np.concatenate([np.zeros(0, np.uint8), *got])[np.searchsorted(cells, row_cells(self.key, 0, bits))]
+        if (count >= HOT).any():
+            self._split(t, length, count)
+        else:
+            self._take(count > 1)
+        ids = t.ids[np.searchsorted(t.off, self.first, "right") - 1]
+        self._take(np.lexsort((self.first, ids, self.content, self.key)))
+        new = np.ones(len(self.key), bool)
+        new[1:] = (self.content[1:] != self.content[:-1]) | (self.key[1:] != self.key[:-1])
+        return new
+
+    def _take(self, i: np.ndarray) -> None:
+        self.first, self.last, self.key, self.content, self.anchor = (x[i] for x in (self.first, self.last, self.key, self.content, self.anchor))
+
+    def _split(self, t: Tablet, length: int, count: np.ndarray) -> None:
+        """Pieces of anchors that are everywhere are cut in two, and go by what stands behind or before the anchor as well: the strings of either half hold that text whole, so equal ones still meet."""
+        gram = min(GRAM, length)
+        half = (length - gram) // 2
+        hot = np.flatnonzero(count >= HOT)
+        rest = (count > 1) & (count < HOT)
+        values = t.data.astype(np.uint64) + U64(1)
+        p, first, last, key = self.anchor[hot], self.first[hot], self.last[hot], self.key[hot]
+        a, b = last >= p - half, first < p - half
+        after = mix(key[a] ^ rolling(values, _BASE, p[a] + gram, p[a] + gram + half))
+        before = mix(key[b] ^ rolling(values, _PIECE, p[b] - half, p[b]))
+        begin, end = np.concatenate((np.maximum(first, p - half)[a], first[b])), np.concatenate((last[a], np.minimum(last, p - half - 1)[b]))
+        self.content = np.concatenate((self.content[rest], rolling(values, _PIECE, begin, end + length)))
+        self.first, self.last = np.concatenate((self.first[rest], begin)), np.concatenate((self.last[rest], end))
+        self.key, self.anchor = np.concatenate((self.key[rest], after, before)), np.concatenate((self.anchor[rest], p[a], p[b]))
 
 
 def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -162,18 +185,17 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4
     def anchors(t: Tablet) -> Iterator[tuple[int, bytes]]:
         yield from count_blocks(*Pieces(t, length).cells(bits), bits, log_s)
 
-    again = settle(answer(ask(tabs, anchors), merge_counts(bits, log_s, repeated_only=True), ANCHORS))
+    again = settle(answer(ask(tabs, anchors), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
 
     def pieces(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
         x = Pieces(t, length)
-        own, new = x.repeated(t, length, answers, bits, log_s)
-        own = own[new]
-        ids = t.ids[np.searchsorted(t.off, x.first[own], "right") - 1]
-        size, at = x.last[own] - x.first[own] + length, 0
-        for s, n in segment_sizes(x.key[own], 64, log_shards):
+        x._take(x.repeated(t, length, answers, bits, log_s))
+        ids = t.ids[np.searchsorted(t.off, x.first, "right") - 1]
+        size, at = x.last - x.first + length, 0
+        for s, n in segment_sizes(x.key, 64, log_shards):
             i = slice(at, at + n)
-            of = (x.key[own][i] >> U64(64 - log_shards - PART_BITS) & U64(PARTS - 1)).astype(np.int64)
-            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[own][i]), squeeze(gather(t.data, x.first[own][i], size[i])), squeeze(np.bincount(of, minlength=PARTS).astype(np.uint32))])
+            of = (x.key[i] >> U64(64 - log_shards - PART_BITS) & U64(PARTS - 1)).astype(np.int64)
+            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[i]), squeeze(gather(t.data, x.first[i], size[i])), squeeze(np.bincount(of, minlength=PARTS).astype(np.uint32))])
             at += n
 
     repeats = settle(answer(ask(tabs, pieces, again), find_repeats(length), REPEATS))
@@ -181,17 +203,17 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4
     def apply(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
         t = Tablet(content, tablet)
         x = Pieces(t, length)
-        own, new = x.repeated(t, length, answers, bits, log_s)
-        count = x.last[own] - x.first[own] + 1
+        new = x.repeated(t, length, answers, bits, log_s)
+        count = x.last - x.first + 1
         late = np.ones(int(count.sum()), bool)
         upto = np.append(0, np.cumsum(count[new]))
         at, sizes = 0, []
-        for s, n in segment_sizes(x.key[own[new]], 64, log_shards):
+        for s, n in segment_sizes(x.key[new], 64, log_shards):
             sizes.append((s, int(upto[at + n] - upto[at])))
             at += n
         starts = np.cumsum(count) - count
         late[gather(np.arange(len(late)), starts[new], count[new])] = answered_bits(answers, REPEATS, sizes)
-        begin = (np.repeat(x.first[own] - starts, count) + np.arange(len(late)))[late]
+        begin = (np.repeat(x.first - starts, count) + np.arange(len(late)))[late]
         n = len(t.data)
         edge = np.bincount(begin, minlength=n + length + 1) - np.bincount(begin + length, minlength=n + length + 1)
         gone = np.cumsum(edge)[:n] > 0

@@ -48,6 +48,22 @@ def test_substrings(data, tablet_bytes):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.substrings(rows)
 
 
+def test_common_anchors(data, monkeypatch):
+    """Anchors of two occurrences count as common, in this process and in the workers, which get the function by value."""
+    from pyspark import cloudpickle as own
+
+    from shardlore.llm import suffixes
+
+    rows, df = data
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    own.register_pickle_by_value(suffixes)
+    try:
+        got = suffixes.remove_substrings(df, tablet_bytes=3000).withColumn("sha", F.sha2("kept", 256)).collect()
+    finally:
+        own.unregister_pickle_by_value(suffixes)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.substrings(rows)
+
+
 @pytest.mark.parametrize("tablet_bytes", [4 << 20, 3000])
 def test_windows(data, tablet_bytes):
     rows, df = data

@@ -13,7 +13,6 @@ from shardlore.llm.decontaminate import contamination
 from shardlore.llm.jaccard import similar
 from shardlore.llm.packing import harmonic_pack
 from shardlore.llm.secrets import redact
-from shardlore.llm.tablets import tidy
 from shardlore.llm.toxicity import reject_toxic
 
 ORACLE_SQL = None
@@ -30,9 +29,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents, the smallest doc_id stays."""
-    classes = settle(similar(docs).select("doc_id", "component_id").where("doc_id <> component_id"))
-    tidy(spark)
-    return _without(docs, classes)
+    return _without(docs, similar(docs).where("doc_id <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

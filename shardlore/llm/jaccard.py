@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 from .components import components
-from .tablets import NO_ID, Tablet, _each, answer, ask, cell_bits, count_blocks, distinct, expand, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
+from .tablets import NO_ID, Tablet, _each, answer, ask, cell_bits, count_blocks, discard, distinct, expand, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
 from .textbytes import U64, lower_ascii, mix, window_hashes, word_bounds, word_hashes
 
 COUNTS, MEMBERS = 0, 9
@@ -228,6 +228,7 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
         new = settle(new.join(tried, ["a", "b"], "left_anti"))
         links = settle(links.unionByName(verified(new)))
         tried = tried.unionByName(new)
+    discard(tabs)  # what follows reads small tables alone
     named = reps.withColumn("key", key).join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").select("n", "sig_a", "sig_b", F.col("key").alias("representative"), "component_id")

@@ -112,7 +112,15 @@ def tablets(docs: DataFrame, tablet_bytes: int = 4 << 20, id_col: str = "doc_id"
     made = id_text(docs, id_col, text_col).mapInArrow(_cutter(tablet_bytes), "tablet long, n_bytes long, content binary")
     made.write.bucketBy(partitions(spark), "tablet").format("parquet").saveAsTable(name)
     MADE.append(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.tablets_table = name
+    return out
+
+
+def discard(tabs: DataFrame) -> None:
+    """Drops one table of tablets, once nothing reads it any more."""
+    tabs.sparkSession.sql(f"DROP TABLE IF EXISTS {tabs.tablets_table}")
+    MADE.remove(tabs.tablets_table)
 
 
 def tidy(spark: SparkSession) -> None:

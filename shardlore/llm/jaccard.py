@@ -33,7 +33,8 @@ from .textbytes import U64, lower_ascii, mix, window_hashes, word_bounds, word_h
 COUNTS, MEMBERS = 0, 9
 DEPTHS = 4
 #: Documents of a long list that meet the others in a round, and the rounds after which what is left is compared all.
-LEADERS, LAST = 4, 6
+#: It also ends when pairs left per posting are few, or when a round no longer halves them: what is left is apart, and must be refuted.
+LEADERS, LAST, FEW = 4, 6, 16
 
 
 class Sets:
@@ -207,7 +208,7 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
         star = now.join(lead, "token").where(F.col("component") != F.col("s.component")).where(100 * F.least("n", "s.n") >= per_hundred * F.greatest("n", "s.n"))
         return star.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b")).distinct()
 
-    rounds, tried = 0, settle(pairs.unionByName(stars(long.withColumn("component", F.col("key")), 0)).distinct())
+    rounds, before, tried = 0, float("inf"), settle(pairs.unionByName(stars(long.withColumn("component", F.col("key")), 0)).distinct())
     links = verified(tried)
     while True:
         c = components(links)
@@ -217,8 +218,8 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
         if rounds == LAST or not left[0]:
             break
         mixed = now.join(sizes.where("t * t > q").select("token"), "token")
-        if rounds + 1 < LAST and left[0] > 4 * left[1]:
-            rounds += 1
+        if rounds + 1 < LAST and left[0] > FEW * left[1] and left[0] < before / 2:
+            rounds, before = rounds + 1, left[0]
             new = stars(mixed, rounds)
         else:
             rounds = LAST

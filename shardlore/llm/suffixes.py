@@ -58,7 +58,8 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     anchor = (least[v] & LOW).astype(np.int64)
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
     first, last = v[new], v[np.append(new[1:], True)]
-    return first, last, h[anchor[new]], rolling(values, _PIECE, first, last + length), anchor[new]
+    # An anchor's hash is the least of many: only mixed again is it spread evenly over segments and shards.
+    return first, last, mix(h[anchor[new]] ^ U64(_PIECE)), rolling(values, _PIECE, first, last + length), anchor[new]
 
 
 class Pieces:

@@ -87,8 +87,14 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return rolling(data.astype(U64) + U64(1), _BYTE, starts, ends)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """A hash of each word, some words at a time: a hash doesn't depend on where its word stands."""
+    out = np.empty(len(starts), U64)
+    for a in range(0, len(starts), at_once):
+        s, e = starts[a : a + at_once], ends[a : a + at_once]
+        lo = int(s[0])
+        out[a : a + at_once] = rolling(data[lo : int(e[-1])].astype(U64) + U64(1), _BYTE, s - lo, e - lo)
+    return out
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -52,7 +52,7 @@ def default_vocabulary() -> str:
 class Encoder:
     """limit: distinct pieces kept; beyond that the memory starts anew, which changes no result."""
 
-    def __init__(self, path: str | None = None, limit: int = 600_000, slice_bytes: int = 6 << 20):
+    def __init__(self, path: str | None = None, limit: int = 300_000, slice_bytes: int = 4 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

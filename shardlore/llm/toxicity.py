@@ -28,6 +28,8 @@ _STOP[[10, 33, 46, 63]] = True
 #: Word beginnings of so many bytes are features beside whole words; a sentence ends here at the latest.
 BEGINNINGS, LONGEST, BIAS = (3, 4, 5, 6, 7, 8, 9), 64, -10.0
 _BASE = 0x9E3779B97F4A7C15
+#: Texts are worked through in slices of so many bytes, or a document, which bounds the memory.
+SLICE = 1 << 20
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,11 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, most: int
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(1))
-            h, s, doc, _ = features(data, off)
-            sentence_doc = doc[s]
-            pair = np.unique(np.stack([sentence_doc.astype(np.uint64), h], axis=1).view([("d", "u8"), ("h", "u8")]).ravel()) if len(h) else np.zeros(0, [("d", "u8"), ("h", "u8")])
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair["h"]).view(np.int64)), pa.array(y[pair["d"].astype(np.int64)].astype(np.int32))], names=["h", "y"])
+            y = b.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            for i, j in slices(off, SLICE):
+                h, s, doc, _ = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                pair = np.unique(np.stack([doc[s].astype(np.uint64), h], axis=1).view([("d", "u8"), ("h", "u8")]).ravel()) if len(h) else np.zeros(0, [("d", "u8"), ("h", "u8")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair["h"]).view(np.int64)), pa.array(y[i:j][pair["d"].astype(np.int64)])], names=["h", "y"])
 
     p, q = (F.sum("y") + 0.5) / (sizes[1] + 1), (F.sum(1 - F.col("y")) + 0.5) / (sizes[0] + 1)
     counted = rows.mapInArrow(each, "h long, y int").groupBy("h").agg(F.sum("y").alias("pos"), (F.sum("y") * F.log(p / q)).alias("worth"), (p / q).alias("times"))
@@ -158,7 +160,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, tra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(at).cast(pa.string()))
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, SLICE):
                 total, _, _ = score(data[off[i] : off[j]], off[i : j + 1] - off[i], names, weights)
                 yield b.slice(i, j - i).filter(pa.array(total < threshold))
 
@@ -173,7 +175,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column(1))
-            for i, j in slices(off, 4 << 20):
+            for i, j in slices(off, SLICE):
                 total, worst, best = score(data[off[i] : off[j]], off[i : j + 1] - off[i], names, weights)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(total), pa.array(worst), pa.array(best)], names=["doc_id", "score", "worst_at", "worst_score"])
 

@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
 A sentence's score is a logistic function of hashed words and word beginnings; a document's is the noisy-or of its sentences,
-1 - prod(1 - s). Only documents carry labels. Weights are fitted on the driver to at most `train_limit` labelled documents
+1 - prod(1 - s). A sentence without a feature that weighs adds nothing, and sentences below one half add up to what BAG of them
+would at most, so that length alone makes no document toxic; one sentence of a half or more counts whole, however long the
+document. Only documents carry labels. Weights are fitted on the driver to at most `train_limit` labelled documents
 (those with the lowest hash of their id); they are at most `features` numbers, whatever the corpus. All documents are then
 scored where they lie, without a shuffle, and the worst sentence of each is located in the text.
 
@@ -27,6 +29,8 @@ _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 #: Word beginnings of so many bytes are features beside whole words; a sentence ends here at the latest.
 BEGINNINGS, LONGEST, BIAS = (3, 4, 5, 6, 7, 8, 9), 64, -10.0
+#: Of a document with more sentences than this, the weak ones count by their mean.
+BAG = 1024
 _BASE = 0x9E3779B97F4A7C15
 #: Texts are worked through in slices of so many bytes, or a document, which bounds the memory.
 SLICE = 1 << 20
@@ -60,6 +64,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate(hashes), np.concatenate(where), np.searchsorted(off, begin, "right") - 1, begin
 
 
+def evidence(z: np.ndarray, told: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(minus the log of each document's chance to be clean, share at which each sentence counts). told: sentences with a feature."""
+    many = np.maximum(np.bincount(owner, minlength=n), 1)
+    share = np.where(z < 0, np.minimum(1, BAG / many)[owner], 1.0) * told
+    return np.bincount(owner, np.logaddexp(0, z) * share, n), share
+
+
 def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], size: int, rounds: int = 150, rate: float = 0.3, shrink: float = 2e-4) -> np.ndarray:
     """Weights of the features 0 .. size - 1. bags: (features, their sentences, label, number of sentences) of each document."""
     y = np.array([b[2] for b in bags])
@@ -67,13 +78,14 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], size: int, rounds:
     upto = np.cumsum([0, *(max(1, b[3]) for b in bags)])
     f, s = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]) + upto[doc]
     owner = np.repeat(np.arange(len(bags)), np.diff(upto))
+    told = np.bincount(s, minlength=upto[-1]) > 0
     w, power = np.ones(size), np.full(size, 1e-8)
     for _ in range(rounds):
         z = BIAS + np.bincount(s, w[f], upto[-1])
         prob = 1 / (1 + np.exp(-z))
-        clean = np.bincount(owner, np.logaddexp(0, z), len(bags))  # minus the log of the document's chance to be clean
+        clean, share = evidence(z, told, owner, len(bags))
         pull = np.where(y == 1, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0)
-        g = np.bincount(f, (pull[owner] * prob)[s], size) / len(bags) + shrink * np.sign(w) / size + 1e-6 * w
+        g = np.bincount(f, (pull[owner] * prob * share)[s], size) / len(bags) + shrink * np.sign(w) / size + 1e-6 * w
         power = 0.9 * power + 0.1 * g * g
         w = np.clip(w - rate * g / (np.sqrt(power) + 1e-8), 0, 25)
     return w
@@ -97,7 +109,7 @@ def score(data: np.ndarray, off: np.ndarray, names: np.ndarray, weights: np.ndar
         return np.zeros(n), np.full(n, -1), np.zeros(n)
     pair = matched(h, sentence, names)
     z = BIAS + np.bincount(pair // len(names), weights[pair % len(names)], len(doc))
-    total = np.bincount(doc, np.logaddexp(0, z), n)
+    total, _ = evidence(z, z > BIAS, doc, n)
     order = np.lexsort((-begin, z, doc))
     last = np.flatnonzero(np.append(doc[order][1:] != doc[order][:-1], True))
     worst, best = np.full(n, -1), np.zeros(n)

@@ -189,6 +189,22 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d, labels.limit(0)).where("score <> 0").isEmpty() and toxicity.toxicity(d.limit(0), labels).isEmpty()
 
 
+def test_toxicity_of_long_documents(spark):
+    """100,000 and more short lines are not toxic for their number, nor for a word of little weight in each; one bad line among them is."""
+    r = random.Random(6)
+    clean = lambda n: " ".join(r.choice(["the", "of", "house", "tree", "walk", "blau"]) for _ in range(n))
+    rows = [(i, f"{clean(60)}. " + ("scumbag " if i % 4 == 0 else "") + f"{clean(9)}.") for i in range(400)]
+    lines = ["the tree of the house"] * 120_000
+    rows += [(1000, "\n".join(lines)), (1001, "\n".join([*lines[:70_000], "a scumbag walks", *lines[70_000:]]))]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("doc_id >= 1000 or doc_id in (4, 5)").collect()}
+    assert [got[i].predicted for i in (4, 5, 1000, 1001)] == [1, 0, 0, 1]
+    assert got[1000].score == 0 and got[1001].worst_at == 70_000 * len("the tree of the house\n")
+    name = toxicity.features(np.frombuffer(b"tree", np.uint8), np.array([0, 4]))[0][:1]
+    weak, _, _ = toxicity.score(np.frombuffer(rows[-2][1].encode(), np.uint8), np.array([0, len(rows[-2][1])]), name, np.ones(1))
+    assert 0 < weak[0] < 0.2
+
+
 def test_secrets(spark):
     r = random.Random(9)
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 1)) + "7"

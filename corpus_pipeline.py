@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows without a
-doc_id pass the stages that drop by doc_id. ORACLE_SQL is None: training and packing are beyond SQL; tests compare run() with brute force."""
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Rows are
+dropped by a key of their own, not by doc_id, which may be null or repeated. ORACLE_SQL is None: training and packing are beyond SQL; tests compare run() with brute force."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from shardlore.llm.secrets import redact
 from shardlore.llm.toxicity import reject_toxic
 
 ORACLE_SQL = None
+ROW = "_shardlore_row"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +24,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row, written once: numbers that are computed anew may change with the cluster."""
+    return settle(docs.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the smallest doc_id stays."""
-    return _without(docs, similar(docs).where("doc_id <> component_id"))
+    """Of each component of similar documents, one row with the smallest doc_id stays, and one of the rows without a doc_id."""
+    rows = _keyed(docs)
+    groups = similar(rows, id_col=ROW).select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    kept = groups.groupBy("component_id", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", ROW))[ROW].alias(ROW)).select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Contaminated rows go."""
+    rows = _keyed(docs)
+    gone = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_without_ids_and_empty(spark):
             assert d.columns == docs.columns
         assert d.count() == data.count()
         corpus_pipeline.STAGES[-1][1](spark, d, DIR).collect()
+
+
+def test_rows_not_ids(spark):
+    """Null, repeated and shared ids: each row is judged by its own text, and one row of a component stays."""
+    item = max((r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()), key=len)
+    copy, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    cols = "doc_id long, text string, source string"
+    rows = [(None, copy, "a"), (None, copy, "b"), (7, other, "a"), (7, other, "a"), (7, other, "a"), (8, third, "a"), (9, copy, "n"), (9, third, "a"), (9, item, "n"), (None, item, "n"), (3, item, "n"), (None, None, "e"), (None, None, "e")]
+    docs = spark.createDataFrame(rows, cols).repartition(3)
+    left = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    # Of item's rows one named and one nameless row stay here, to go in the next stage.
+    assert left(corpus_pipeline.near_duplicates(spark, docs, DIR)) == sorted([(-1, copy), (9, copy), (7, other), (8, third), (3, item), (-1, item), (-1, ""), (-1, "")])
+    assert left(corpus_pipeline.decontamination(spark, docs, DIR)) == sorted((i or -1, t or "") for i, t, _ in rows if t != item)

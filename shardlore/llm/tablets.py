@@ -22,6 +22,8 @@ from .common import id_text
 from .textbytes import U64, buffers, mix
 
 NO_ID = (1 << 63) - 1
+#: Rows of a tablet at most: a row's key is the tablet's number << 20 and its place.
+MOST_ROWS = 1 << 20
 #: Names of the tables that tablets() made in this session; tidy() drops them.
 MADE: list[str] = []
 
@@ -75,14 +77,14 @@ def _content(ids: list[np.ndarray], texts: list[np.ndarray], lens: list[np.ndarr
 def _cutter(tablet_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list] = ([], [], [])
-        made, size, base = 0, 0, TaskContext.get().partitionId() << 20
+        made, size, n, base = 0, 0, 0, TaskContext.get().partitionId() << 20
 
         def out() -> pa.RecordBatch:
-            nonlocal made, size
+            nonlocal made, size, n
             content, total = _content(*held), size
             for x in held:
                 x.clear()
-            made, size = made + 1, 0
+            made, size, n = made + 1, 0, 0
             return pa.RecordBatch.from_arrays([pa.array([base + made - 1]), pa.array([total]), pa.array([content], pa.binary())], names=["tablet", "n_bytes", "content"])
 
         for b in batches:
@@ -91,13 +93,14 @@ def _cutter(tablet_bytes: int):
             a = 0
             while a < len(ids):
                 c = max(a + 1, int(np.searchsorted(off, off[a] + tablet_bytes - size, "right")) - 1)
-                c = min(c, len(ids), a + (1 << 20))
+                c = min(c, len(ids), a + MOST_ROWS - n)
                 held[0].append(ids[a:c])
                 held[1].append(data[off[a] : off[c]])
                 held[2].append(np.diff(off[a : c + 1]))
                 size += int(off[c] - off[a])
+                n += c - a
                 a = c
-                if size >= tablet_bytes * 0.9 or a < len(ids):
+                if size >= tablet_bytes * 0.9 or n >= MOST_ROWS or a < len(ids):
                     yield out()
         if held[0]:
             yield out()

@@ -103,3 +103,24 @@ def test_components(spark):
         for a, b in links:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {k: v for k, v in up.items() if k != 100}
+
+
+def test_rows_of_a_tablet(data, monkeypatch):
+    """Tablets close at their number of rows, over Arrow batches too."""
+    from pyspark import cloudpickle as own
+
+    from shardlore.llm import tablets
+
+    rows, df = data
+    spark = df.sparkSession
+    monkeypatch.setattr(tablets, "MOST_ROWS", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    own.register_pickle_by_value(tablets)
+    try:
+        sizes = [len(tablets.Tablet(r.content).ids) for r in tablets.tablets(df).collect()]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df).collect()}
+    finally:
+        own.unregister_pickle_by_value(tablets)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(sizes) == 7 and sum(sizes) == len(rows)
+    assert got == brute.classes(rows)

@@ -1,7 +1,8 @@
 """Secret scan: candidates by pattern, judged by a random forest.
 
-Candidates are runs of 12 characters or more of a token's alphabet with a digit, and private-key blocks. The forest sees the
-candidate's length, its transitions between kinds of characters, the share that dictionary words cover, its path, and the
+Candidates are runs of 12 characters or more of a token's alphabet with a digit or a known beginning, private-key blocks with whatever
+stands in them, and what is quoted or assigned after a word that announces a secret, whatever its alphabet and length. The forest sees the
+candidate's length, its marks, its transitions between kinds of characters, the share that dictionary words cover, its path, and the
 neighbouring words. It is grown on the driver from labelled findings, at most `train_limit` of them, and becomes a Spark conditional
 expression; finding, judging and redacting are expressions over one row, and nothing is shuffled.
 
@@ -22,12 +23,20 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import bound
 
-CANDIDATE = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,10000}-----END [A-Z ]{0,20}PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+KEY_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}|(?:AKIA|ASIA|gh[opsu]_|sk_live_|xox[abp]-|AIza|eyJ)[A-Za-z0-9+/_-]{8,})={0,2}"
+WORDS = "secret|token|passw|passphrase|pwd|api.?key|key|auth|bearer|credential|private"
+#: Up to a value: the announcing word, then "=", ":" or the like, or a blank where the value is quoted.
+LEAD = rf"(?i:{WORDS})[\w.-]{{0,16}}+[\"'`\]]{{0,2}}(?:\s*+(?:=>|:=|[=:])\s*+|\s++(?=[\"'`]))"
+NEXT = rf"(?!(?i:{WORDS})[\w.-]{{0,16}}[=:])"
+#: What lies before a candidate, from the last one on, and the candidate, group CANDIDATE. The empty groups 2 to 4 tell which kind of value is announced.
+FIND = rf"\G((?s:.)*?(?:(?={KEY_BLOCK})|{LEAD}(?!{KEY_BLOCK})(?:\"()(?=[^\"\n]+\")|'()(?=[^'\n]+')|(){NEXT}(?=[^\s\"'`]))|(?={TOKEN})))({KEY_BLOCK}|\2[^\"\n]+|\3[^'\n]+|\4(?:{NEXT}[^\s\"'`])*[^\s\"'`.,;:)\]}}>]|{TOKEN})"
+CANDIDATE = 5
 BEFORE = 60
-FEATURES = ("length", "transitions", "digits", "distinct", "dictionary", "path", "test_path", "announced", "assigned", "ordinary", "format")
+FEATURES = ("length", "transitions", "digits", "distinct", "dictionary", "path", "test_path", "announced", "assigned", "ordinary", "format", "marks")
 # Words that identifiers, paths and placeholders are made of.
 DICTIONARY = ("access", "account", "admin", "api", "auth", "build", "cache", "change", "class", "client", "code", "config", "data", "default", "demo", "dummy", "error", "example", "file", "foo", "function", "group", "here", "home", "image", "index", "item", "key", "list", "local", "model", "module", "name", "node", "number", "order", "page", "password", "path", "project", "public", "release", "report", "sample", "secret", "server", "service", "source", "static", "string", "table", "task", "test", "text", "time", "token", "type", "user", "value", "version", "your")
-ANNOUNCES = r"(?i)(secret|token|passw|passphrase|pwd|api.?key|key|auth|bearer|credential|private)[\w.-]{0,16}[^\w]{0,6}$"
+ANNOUNCES = rf"(?i)({WORDS})[\w.-]{{0,16}}[^\w]{{0,6}}$"
 ORDINARY = r"(?i)(sha|md5|commit|hash|checksum|digest|uuid|guid|isbn|card|iban|phone|tel|fax|order|invoice|ticket|revision|version|build|id|no)[^\w]{0,5}$"
 FORMAT = r"^(AKIA|ASIA|gh[opsu]_|sk_live_|xox[abp]-|AIza|eyJ|-----BEGIN)"
 
@@ -50,6 +59,7 @@ def describe(secret: Column, before: Column, path: Column) -> Column:
         flag(F.regexp_like(before, F.lit(r"[=:]\s*[\"']?$"))).alias("assigned"),
         flag(F.regexp_like(before, F.lit(ORDINARY))).alias("ordinary"),
         flag(F.regexp_like(secret, F.lit(FORMAT))).alias("format"),
+        share(count("[^A-Za-z0-9+/_=-]")).alias("marks"),
     )
 
 
@@ -74,6 +84,20 @@ def default_findings(seed: int = 7, of_each: int = 60) -> list[tuple[str, str, s
             (f"{r.choice(DICTIONARY)}/{r.choice(DICTIONARY)}/{some(string.ascii_lowercase, 3, 8)}{r.randint(1, 99)}", f"{prose()} https://", path(), 0), (f"your_{r.choice(DICTIONARY)}_here_{r.randint(1, 9)}", f"{prose()} {lead()}", r.choice([path(), "docs/example"]), 0),
             (some(string.ascii_lowercase, 10, 18) + str(r.randint(1, 2999)), f"{prose()} ", path(), 0), (digit(some(alnum, 16, 40)), f"{prose()} {lead()}", "tests/fixtures", 0), (some(string.digits, 14, 16), f"{prose()} {lead()}", path(), 0), (digit(some(alnum, 20, 40)), f"{prose()} ", path(), 1),
         ]
+    letters, marks = string.ascii_letters, "!@#$%^&*?~"
+    spoken = lambda n: "-".join(some(string.ascii_lowercase, 4, 8) for _ in range(n))
+    assign = lambda: word() + r.choice(["=", " = ", ": ", ' = "', '="', " '"])
+    header = lambda: r.choice(["", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{some(hexa.upper(), 32, 32)}\n\n"])
+    block = lambda: f"-----BEGIN PRIVATE KEY-----\n{header()}{some(alnum + '+/', 8, r.choice([40, 2000]))}\n-----END PRIVATE KEY-----"
+    for _ in range(of_each):
+        rows += [
+            (some(alnum, 3, 8) + r.choice(marks) + some(alnum + marks, 3, 12), f"{prose()} {assign()}", path(), 1), (some(letters, 3, 8) + r.choice(marks) + some(letters + marks, 3, 8), f"{prose()} {assign()}", path(), 1),
+            (spoken(r.randint(3, 5)), f"{prose()} {assign()}", path(), 1), (digit(some(alnum, 6, 11)), f"{prose()} {assign()}", path(), 1), (some(letters, 16, 40), f"{prose()} {assign()}", path(), 1), ("AKIA" + some(letters.upper(), 16, 16), f"{prose()} {r.choice([assign(), ''])}", path(), 1),
+            (some(letters, 60, 90) + some(alnum, 4, 20), f"{prose()} {assign()}", path(), 1), (block(), f"{prose()} {r.choice([assign(), ''])}", path(), 1),
+            (some(string.ascii_lowercase, 2, 9), f"{prose()} {assign()}", path(), 0), (r.choice(DICTIONARY), f"{prose()} {assign()}", path(), 0), (r.choice(["<", "${", "{{", "os.environ[", "%("]) + r.choice(DICTIONARY), f"{prose()} {assign()}", path(), 0),
+            (" ".join(some(string.ascii_lowercase, 2, 9) for _ in range(r.randint(2, 6))), f"{prose()} {assign()}", path(), 0), ("*" * r.randint(3, 12), f"{prose()} {assign()}", path(), 0), ("_".join(r.choice(DICTIONARY) for _ in range(2)), f"{prose()} {assign()}", path(), 0),
+            (some(string.ascii_lowercase, 2, 8) + r.choice("!?"), f"{prose()} {word()}: ", path(), 0),
+        ]
     return rows
 
 
@@ -130,15 +154,18 @@ def found_in(text: Column, path: Column, trees: list[Tree], threshold: float) ->
     kind = "struct<pos:int,out:array<struct<start:int,secret:string,score:double,is_secret:boolean>>>"
 
     def each(t: Column) -> Column:
-        def step(acc: Column, c: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            c = x["secret"]
+
             def at(p: Column) -> Column:
                 near = F.greatest(p - BEFORE, F.lit(1))
                 judged = lambda f: F.struct((p - 1).alias("start"), c.alias("secret"), voted(trees, f).alias("score"), (voted(trees, f) >= threshold).alias("is_secret"))
                 return F.struct((p + F.char_length(c)).alias("pos"), F.concat(acc["out"], F.array(bound(describe(c, F.substring(t, near, p - near), path), judged))).alias("out")).cast(kind)
 
-            return bound(F.call_function("locate", c, t, acc["pos"]), at)
+            return bound(acc["pos"] + F.char_length(x["gap"]), at)
 
-        return F.aggregate(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), F.expr(f"cast(struct(1, array()) as {kind})"), step)["out"]
+        found = F.zip_with(F.regexp_extract_all(t, F.lit(FIND), F.lit(1)), F.regexp_extract_all(t, F.lit(FIND), F.lit(CANDIDATE)), lambda g, c: F.struct(g.alias("gap"), c.alias("secret")))
+        return F.aggregate(found, F.expr(f"cast(struct(1, array()) as {kind})"), step)["out"]
 
     return bound(F.coalesce(text, F.lit("")), each)
 

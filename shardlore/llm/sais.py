@@ -1,18 +1,20 @@
-"""Suffix arrays by induced sorting, with the steps over arrays.
+"""Suffix arrays by induced sorting.
 
 A suffix is of type S if it is smaller than the next one, else L; a leftmost S is an LMS suffix. LMS substrings are sorted by
-inducing from their unsorted ends, named, and sorted recursively as a shorter string; from their order all L and then all S
-suffixes are induced in one sweep each. A sweep takes the buckets of first characters in order and each bucket's suffixes in waves: a
-wave's predecessors go to their buckets at once. Where a reduced string has too many names for a sweep by buckets to pay, the
-recursion ends there by doubling the prefix that is ranked.
+inducing from their unsorted ends, named, and sorted recursively as a shorter string, until all names differ; from their order
+all L and then all S suffixes are induced in one sweep each. Over few characters a sweep takes the buckets of first characters in
+order and each bucket's suffixes in waves: a wave's predecessors go to their buckets at once. Over many names, as reduced strings
+have, buckets are short, and the sweep takes suffix by suffix, in one linear pass.
 
 The permuted common prefixes are computed at irreducible positions, which are few in repetitive texts, and follow by counting down elsewhere."""
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
-#: A sweep by buckets has costs per bucket; up to so many names, or a share of the length, it is used.
+#: A sweep by waves has costs per bucket: it is used up to so many names, or one for so many places.
 MOST_NAMES, SHARE = 512, 2000
 
 
@@ -99,31 +101,37 @@ def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray
     return sa
 
 
-def _double(t: np.ndarray) -> np.ndarray:
-    """Ranks by ever longer prefixes; only suffixes that are still tied are sorted again."""
-    n = len(t)
-    sa = np.argsort(t, kind="stable")
-    new = np.append(True, t[sa][1:] != t[sa][:-1])
-    rank = np.empty(n, np.int64)
-    at = np.flatnonzero(new)
-    rank[sa] = np.repeat(at, np.diff(np.append(at, n)))
-    h = 1
-    tied = np.flatnonzero(~(new & np.append(new[1:], True)))
-    while len(tied):
-        j = sa[tied]
-        key = np.where(j + h < n, rank[np.minimum(j + h, n - 1)], -1)
-        order = np.lexsort((key, rank[j]))
-        j, key, group = j[order], key[order], rank[j][order]
-        sa[tied] = j
-        first = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
-        at = np.flatnonzero(first)
-        # A suffix's rank is the place of its class's first member.
-        fresh = tied[at]
-        rank[j] = np.repeat(fresh, np.diff(np.append(at, len(j))))
-        alone = first & np.append(first[1:], True)
-        tied = tied[~alone]
-        h *= 2
-    return sa
+def _ints(a: np.ndarray) -> array:
+    out = array("i")
+    out.frombytes(np.ascontiguousarray(a, np.int32).tobytes())
+    return out
+
+
+def _induce_each(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """As _induce, suffix by suffix: an entry that is read may have been placed by the same sweep."""
+    counts = np.bincount(t, minlength=k)
+    end = np.cumsum(counts)
+    first = np.full(len(t), -1, np.int64)
+    _place(first, end - 1, t, lms[::-1], -1, k)
+    sa = _ints(first)
+    # The bucket of the suffix before each one, if that is of the type of the sweep; sa's -1 finds the last entry.
+    before = np.concatenate(([-1], t[:-1], [-1]))
+    small = np.concatenate(([False], s[:-1], [False]))
+    into, head = _ints(np.where(small, -1, before)), (end - counts).tolist()
+    for j in sa:
+        c = into[j]
+        if c >= 0:
+            at = head[c]
+            sa[at], head[c] = j - 1, at + 1
+    into, tail = _ints(np.where(small, before, -1)), (end - 1).tolist()
+    for j in reversed(sa):
+        c = into[j]
+        if c >= 0:
+            at = tail[c]
+            sa[at], tail[c] = j - 1, at - 1
+    out = np.frombuffer(sa, np.int32).astype(np.int64)
+    out[0] = len(t) - 1  # the unique least character
+    return out
 
 
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
@@ -133,11 +141,10 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     k = int(t.max()) + 1 if k is None else k
     if n < 3:
         return np.arange(n)[::-1].copy()
-    if k > MOST_NAMES and k > n // SHARE:
-        return _double(t)
+    induce = _induce if k <= MOST_NAMES or k <= n // SHARE else _induce_each
     s = types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = _induce(t, s, lms, k)
+    sa = induce(t, s, lms, k)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
@@ -160,7 +167,7 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     names[index[order]] = name
     if len(lms) and name[-1] + 1 < len(lms):
         order = lms[suffix_array(names, int(name[-1]) + 1)]
-    return _induce(t, s, order, k)
+    return induce(t, s, order, k)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

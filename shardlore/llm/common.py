@@ -10,22 +10,41 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that spark.checkpoint.dir names. Where that is unset, as in tests, a temporary folder becomes it."""
+    """A new path under the folder that spark.checkpoint.dir names. Where that is unset a temporary folder becomes it, as in tests; a cluster, whose executors could not reach it, needs the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shardlore-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/shardlore-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that its lineage ends there and a lost executor costs no recomputation."""
+    """Writes df as Parquet into the shared folder and reads it again, so that its lineage ends there and a lost executor costs no recomputation. unsettle() removes it."""
     path = shared_dir(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out.settled_path = path
+    return out
+
+
+def unsettle(*tables: DataFrame) -> None:
+    """Removes what settle() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of what df reads, from its files; nothing is read. What has no known size counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import settle, table
 from .sais import permuted_prefixes, suffix_array
-from .tablets import NO_ID, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
-from .textbytes import U64, mix, rolling, slices
+from .tablets import Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, squeeze, tablets
+from .textbytes import U64, mix, octets, pair, slices, span_hashes
 
 ANCHORS, REPEATS, GRAM = 0, 1, 16
 #: Anchors that occur so often, or more, are told apart by the text beside them.
@@ -30,7 +30,7 @@ HOT = 200
 #: A shard is worked through in so many parts, by further bits of the anchors' hashes.
 PART_BITS = 3
 PARTS = 1 << PART_BITS
-_BASE, _PIECE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_PIECE = 0xD6E8FEB86659FD93
 LOW = U64(0xFFFFFFFF)
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -49,9 +49,9 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     long = np.flatnonzero(np.diff(off) >= length)
     if not len(long):
         return None
-    values = data.astype(np.uint64) + U64(1)
     at = np.arange(n - gram + 1)
-    h = rolling(values, _BASE, at, at + gram)
+    by = octets(data)
+    h = pair(mix(by[: len(at)]), by[8 : 8 + len(at)]) if gram == 16 else span_hashes(data, at, at + gram)
     least = sliding_min((h & ~LOW) | at.astype(np.uint64), length - gram + 1)
     edge = np.bincount(off[long], minlength=n + 2) - np.bincount(off[long + 1] - length + 1, minlength=n + 2)
     v = np.flatnonzero(np.cumsum(edge)[: len(least)] > 0)
@@ -59,7 +59,7 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
     first, last = v[new], v[np.append(new[1:], True)]
     # An anchor's hash is the least of many: only mixed again is it spread evenly over segments and shards.
-    return first, last, mix(h[anchor[new]] ^ U64(_PIECE)), rolling(values, _PIECE, first, last + length), anchor[new]
+    return first, last, mix(h[anchor[new]] ^ U64(_PIECE)), span_hashes(data, first, last + length), anchor[new]
 
 
 class Pieces:
@@ -85,11 +85,10 @@ class Pieces:
             self._split(t, length, count)
         else:
             self._take(count > 1)
-        ids = t.ids[np.searchsorted(t.off, self.first, "right") - 1]
-        self._take(np.lexsort((self.first, ids, self.content, self.key)))
-        new = np.ones(len(self.key), bool)
-        new[1:] = (self.content[1:] != self.content[:-1]) | (self.key[1:] != self.key[:-1])
-        return new
+        of = np.searchsorted(t.off, self.first, "right") - 1
+        self._take(np.lexsort((self.first, t.ids[of], t.null[of], self.content, self.key)))
+        equal = np.append(False, (self.content[1:] == self.content[:-1]) & (self.key[1:] == self.key[:-1]))[: len(self.key)]
+        return ~same_text(t.data, self.first, self.last - self.first + length, equal)
 
     def _take(self, i: np.ndarray) -> None:
         self.first, self.last, self.key, self.content, self.anchor = (x[i] for x in (self.first, self.last, self.key, self.content, self.anchor))
@@ -100,13 +99,13 @@ class Pieces:
         half = (length - gram) // 2
         hot = np.flatnonzero(count >= HOT)
         rest = (count > 1) & (count < HOT)
-        values = t.data.astype(np.uint64) + U64(1)
+        spans = lambda begin, end: span_hashes(t.data, begin, end)
         p, first, last, key = self.anchor[hot], self.first[hot], self.last[hot], self.key[hot]
         a, b = last >= p - half, first < p - half
-        after = mix(key[a] ^ rolling(values, _BASE, p[a] + gram, p[a] + gram + half))
-        before = mix(key[b] ^ rolling(values, _PIECE, p[b] - half, p[b]))
+        after = mix(key[a] ^ spans(p[a] + gram, p[a] + gram + half))
+        before = mix(key[b] ^ mix(spans(p[b] - half, p[b]) ^ U64(_PIECE)))
         begin, end = np.concatenate((np.maximum(first, p - half)[a], first[b])), np.concatenate((last[a], np.minimum(last, p - half - 1)[b]))
-        self.content = np.concatenate((self.content[rest], rolling(values, _PIECE, begin, end + length)))
+        self.content = np.concatenate((self.content[rest], spans(begin, end + length)))
         self.first, self.last = np.concatenate((self.first[rest], begin)), np.concatenate((self.last[rest], end))
         self.key, self.anchor = np.concatenate((self.key[rest], after, before)), np.concatenate((self.anchor[rest], p[a], p[b]))
 
@@ -117,12 +116,23 @@ def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
 
 
-def late_strings(text: np.ndarray, size: np.ndarray, ids: np.ndarray, tab: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+def same_text(data: np.ndarray, begin: np.ndarray, size: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """equal, where it says that a span is the one before it, as far as their bytes are the same."""
+    i = np.flatnonzero(equal)
+    i = i[size[i] == size[i - 1]]
+    out = np.zeros(len(begin), bool)
+    if len(i):
+        differ = gather(data, begin[i], size[i]) != gather(data, begin[i - 1], size[i])
+        out[i] = ~np.logical_or.reduceat(differ, np.cumsum(size[i]) - size[i])
+    return out
+
+
+def late_strings(text: np.ndarray, size: np.ndarray, ids: np.ndarray, null: np.ndarray, tab: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
     """For each string of each piece, whether an equal one starts earlier. Pieces lie in text one after another."""
     begin = np.cumsum(size) - size
-    content = rolling(text.astype(np.uint64) + U64(1), _PIECE, begin, begin + size)
-    order = np.lexsort((pos, tab, ids, content))
-    first = order[np.append(True, content[order][1:] != content[order][:-1])]
+    content = span_hashes(text, begin, begin + size)
+    order = np.lexsort((pos, tab, ids, null, content))
+    first = order[~same_text(text, begin[order], size[order], np.append(False, content[order][1:] == content[order][:-1]))]
     # One text of the earliest pieces, each with a mark behind it. No byte of UTF-8 reaches 254.
     own = size[first]
     t = np.ones(int(own.sum()) + len(first) + 1, np.uint8)
@@ -132,7 +142,7 @@ def late_strings(text: np.ndarray, size: np.ndarray, ids: np.ndarray, tab: np.nd
     sa = suffix_array(t.astype(np.int16), 256)
     common = permuted_prefixes(t, sa, length)[sa]
     # Each string's time: its document, then its start.
-    _, owner = np.unique(np.stack([ids[first], tab[first]], axis=1), axis=0, return_inverse=True)
+    _, owner = np.unique(np.stack([null[first], ids[first], tab[first]], axis=1), axis=0, return_inverse=True)
     count = own - length + 1
     where = gather(np.arange(len(t)), at, count)
     when = np.full(len(t), -1, np.int64)
@@ -160,6 +170,7 @@ def find_repeats(length: int):
         sizes = [expand(p[1], np.uint32).astype(np.int64) for p in parts]
         n = list(map(len, sizes))
         size, ids, pos = np.concatenate(sizes), np.concatenate([expand(p[2], np.int64) for p in parts]), np.concatenate([expand(p[3], np.int64) for p in parts])
+        null = np.concatenate([np.unpackbits(np.frombuffer(p[6], np.uint8), count=k).astype(bool) for p, k in zip(parts, n, strict=True)])
         tab, of = np.repeat([int.from_bytes(p[0], "little") for p in parts], n), np.repeat(np.arange(len(parts)), n)
         text = np.concatenate([expand(p[4], np.uint8) for p in parts])
         part = np.concatenate([np.repeat(np.arange(PARTS), expand(p[5], np.uint32)) for p in parts])
@@ -168,7 +179,7 @@ def find_repeats(length: int):
         for k in range(PARTS):
             i = np.flatnonzero(part == k)
             if len(i):
-                late = late_strings(gather(text, begin[i], size[i]), size[i], ids[i], tab[i], pos[i], length)
+                late = late_strings(gather(text, begin[i], size[i]), size[i], ids[i], null[i], tab[i], pos[i], length)
                 out[np.arange(len(late)) + np.repeat(at[i] - (np.cumsum(spans[i]) - spans[i]), spans[i])] = late
         cuts = np.cumsum(np.bincount(of, spans, len(parts)).astype(np.int64))[:-1]
         return [np.packbits(x).tobytes() for x in np.split(out, cuts)]
@@ -176,10 +187,10 @@ def find_repeats(length: int):
     return reply
 
 
-def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     tabs = tablets(docs, tablet_bytes, id_col, text_col)
-    log_s = segments(docs.sparkSession)
+    log_s = tabs.log_segments
     log_shards = log_s + 2
     bits = cell_bits((tabs.agg(F.sum("n_bytes")).first()[0] or 0) // 20, log_s, 16)
 
@@ -191,12 +202,13 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4
     def pieces(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
         x = Pieces(t, length)
         x._take(x.repeated(t, length, answers, bits, log_s))
-        ids = t.ids[np.searchsorted(t.off, x.first, "right") - 1]
+        doc = np.searchsorted(t.off, x.first, "right") - 1
+        ids, null = t.ids[doc], t.null[doc]
         size, at = x.last - x.first + length, 0
         for s, n in segment_sizes(x.key, 64, log_shards):
             i = slice(at, at + n)
             of = (x.key[i] >> U64(64 - log_shards - PART_BITS) & U64(PARTS - 1)).astype(np.int64)
-            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[i]), squeeze(gather(t.data, x.first[i], size[i])), squeeze(np.bincount(of, minlength=PARTS).astype(np.uint32))])
+            yield s, join_blocks([t.number.to_bytes(8, "little"), squeeze(size[i].astype(np.uint32)), squeeze(ids[i]), squeeze(x.first[i]), squeeze(gather(t.data, x.first[i], size[i])), squeeze(np.bincount(of, minlength=PARTS).astype(np.uint32)), np.packbits(null[i]).tobytes()])
             at += n
 
     repeats = settle(answer(ask(tabs, pieces, again), find_repeats(length), REPEATS))
@@ -224,7 +236,7 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int = 4
         of = lambda mask: np.diff(np.append(0, np.cumsum(mask))[t.off])
         removed, keep = of(gone), ~gone
         kept = [t.data[a:b][keep[a:b]].tobytes() if r else t.data[a:b].tobytes() for a, b, r in zip(t.off[:-1].tolist(), t.off[1:].tolist(), removed.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(t.ids, mask=t.ids == NO_ID), pa.array(np.diff(t.off)), pa.array(removed), pa.array(of(opening)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.RecordBatch.from_arrays([t.doc_ids(), pa.array(np.diff(t.off)), pa.array(removed), pa.array(of(opening)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return _each(tabs, apply, again.unionByName(repeats), CLEANED)
 

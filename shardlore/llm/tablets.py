@@ -8,6 +8,7 @@ hot group of documents, makes a large block."""
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,10 +19,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text
+from .common import id_text, input_bytes
 from .textbytes import U64, buffers, mix
 
-NO_ID = (1 << 63) - 1
 #: Rows of a tablet at most: a row's key is the tablet's number << 20 and its place.
 MOST_ROWS = 1 << 20
 #: Names of the tables that tablets() made in this session; tidy() drops them.
@@ -56,27 +56,31 @@ def cut_blocks(b: bytes) -> list[bytes]:
 
 
 class Tablet:
-    """ids: doc_ids, NO_ID for null. off: where each text starts in data. number: the tablet's."""
+    """ids: doc_ids, 0 where null says that there is none. off: where each text starts in data. number: the tablet's."""
 
     def __init__(self, content: bytes, number: int = 0):
         self.number = number
-        ids, off, data = cut_blocks(content)
+        ids, null, off, data = cut_blocks(content)
         self.ids, self.off = expand(ids, np.int64), expand(off, np.int64)
+        self.null = np.unpackbits(np.frombuffer(null, np.uint8), count=len(self.ids)).astype(bool)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.zeros(0, np.uint8)
 
     def text(self, i: int) -> bytes:
         return self.data[self.off[i] : self.off[i + 1]].tobytes()
 
+    def doc_ids(self) -> pa.Array:
+        return pa.array(self.ids, mask=self.null)
 
-def _content(ids: list[np.ndarray], texts: list[np.ndarray], lens: list[np.ndarray]) -> bytes:
+
+def _content(ids: list[np.ndarray], null: list[np.ndarray], texts: list[np.ndarray], lens: list[np.ndarray]) -> bytes:
     data = np.concatenate(texts)
     off = np.concatenate(([0], np.cumsum(np.concatenate(lens))))
-    return join_blocks([squeeze(np.concatenate(ids)), squeeze(off), zstandard.ZstdCompressor(level=1).compress(data.tobytes()) if len(data) else b""])
+    return join_blocks([squeeze(np.concatenate(ids)), np.packbits(np.concatenate(null)).tobytes(), squeeze(off), zstandard.ZstdCompressor(level=1).compress(data.tobytes()) if len(data) else b""])
 
 
 def _cutter(tablet_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
+        held: tuple[list, list, list, list] = ([], [], [], [])
         made, size, n, base = 0, 0, 0, TaskContext.get().partitionId() << 20
 
         def out() -> pa.RecordBatch:
@@ -89,14 +93,13 @@ def _cutter(tablet_bytes: int):
 
         for b in batches:
             data, off = buffers(b.column(1))
-            ids = b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            ids, null = b.column(0).fill_null(0).to_numpy(zero_copy_only=False), b.column(0).is_null().to_numpy(zero_copy_only=False)
             a = 0
             while a < len(ids):
                 c = max(a + 1, int(np.searchsorted(off, off[a] + tablet_bytes - size, "right")) - 1)
                 c = min(c, len(ids), a + MOST_ROWS - n)
-                held[0].append(ids[a:c])
-                held[1].append(data[off[a] : off[c]])
-                held[2].append(np.diff(off[a : c + 1]))
+                for x, own in zip(held, (ids[a:c], null[a:c], data[off[a] : off[c]], np.diff(off[a : c + 1])), strict=True):
+                    x.append(own)
                 size += int(off[c] - off[a])
                 n += c - a
                 a = c
@@ -108,15 +111,20 @@ def _cutter(tablet_bytes: int):
     return cut
 
 
-def tablets(docs: DataFrame, tablet_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """tablet, n_bytes, content; bucketed by tablet. tablet_bytes should grow with the square root of the input."""
-    spark = docs.sparkSession
-    name = f"shardlore_tablets_{uuid.uuid4().hex}"
-    made = id_text(docs, id_col, text_col).mapInArrow(_cutter(tablet_bytes), "tablet long, n_bytes long, content binary")
-    made.write.bucketBy(partitions(spark), "tablet").format("parquet").saveAsTable(name)
+def usual_bytes(input_size: int) -> int:
+    """A tablet's size, which grows with the square root of the input: as many blocks as tablets times segments are asked for. From 4 MB to 32 MB, for which a core has about 3 GB."""
+    return min(max(4 << 20, math.isqrt(input_size << 14)), 32 << 20)
+
+
+def tablets(docs: DataFrame, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """tablet, n_bytes, content; bucketed by tablet. tablet_bytes: usual_bytes of the input, unless given."""
+    spark, own = docs.sparkSession, id_text(docs, id_col, text_col)
+    name, size = f"shardlore_tablets_{uuid.uuid4().hex}", input_bytes(own)
+    made = own.mapInArrow(_cutter(tablet_bytes or usual_bytes(size)), "tablet long, n_bytes long, content binary")
+    made.write.bucketBy(partitions(spark, size), "tablet").format("parquet").saveAsTable(name)
     MADE.append(name)
     out = spark.table(name)
-    out.tablets_table = name
+    out.tablets_table, out.log_segments = name, segments(spark, size)
     return out
 
 
@@ -132,13 +140,14 @@ def tidy(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {MADE.pop()}")
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, input_size: int = 0) -> int:
+    """As many as the session shuffles by, and one for each 512 MB of the input."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), input_size >> 29)
 
 
-def segments(spark: SparkSession) -> int:
-    """Log2 of the number of segments: as many as there are shuffle partitions, at least."""
-    return max(2, (partitions(spark) - 1).bit_length())
+def segments(spark: SparkSession, input_size: int = 0) -> int:
+    """Log2 of the number of segments: as many as there are partitions, at least."""
+    return max(2, (partitions(spark, input_size) - 1).bit_length())
 
 
 REQUEST = "segment int, tablet long, block binary"

@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-#: Odd multipliers of the polynomial hashes, and the constants of a 64-bit finaliser.
-_BYTE, _WORD, _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Odd multipliers, and the constants of a 64-bit finaliser.
+_PAIR, _LENGTH, _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -38,22 +42,6 @@ def slices(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = min(b, n)
 
 
-_POW: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i below n at least."""
-    if base not in _POW or len(_POW[base]) < n:
-        p = np.full(max(n, 1 << 16), base, U64)
-        p[0] = 1
-        _POW[base] = np.multiply.accumulate(p)
-    return _POW[base]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> U64(30))
     h *= U64(_M1)
@@ -62,15 +50,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def rolling(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[s:e] for each s and e: polynomials mod 2**64, from prefix sums."""
-    n = len(values)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(values * powers(base, n)[:n], out=total[1:])
-    h = total[ends]
-    h -= total[starts]
-    h *= powers(inverse(base), n + 1)[starts]
-    return mix(h + (ends - starts).astype(U64))
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes, in this order. Every step is mixed, so no sum of products can cancel, whatever the text."""
+    return mix(a * U64(_PAIR) + b)
+
+
+def octets(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as an integer; zeros follow the last one."""
+    wide = np.zeros(len(data) + 16, np.uint8)
+    wide[: len(data)] = data
+    return np.ndarray((len(data) + 9,), "<u8", wide.data, 0, (1,))
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,24 +76,64 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
-    """A hash of each word, some words at a time: a hash doesn't depend on where its word stands."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+    """A hash of data[s:e] for each s and e, of what stands there alone: 8 bytes at a time, and spans over LONG bytes by a library. Some spans at a time, which lie in ascending order."""
     out = np.empty(len(starts), U64)
     for a in range(0, len(starts), at_once):
         s, e = starts[a : a + at_once], ends[a : a + at_once]
-        lo = int(s[0])
-        out[a : a + at_once] = rolling(data[lo : int(e[-1])].astype(U64) + U64(1), _BYTE, s - lo, e - lo)
+        lo = int(s.min())
+        out[a : a + at_once] = _spans(data[lo : int(e.max())], s - lo, e - s)
     return out
 
 
+def _spans(data: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    by = octets(data)
+    h = mix((by[s] & _MASK[np.minimum(n, 8)]) + n.astype(U64) * U64(_LENGTH))
+    live, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(live):
+        own, left = s[live] + at, n[live] - at
+        h[live] = pair(h[live], by[own] & _MASK[np.minimum(left, 8)])
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[s[i] : s[i] + n[i]].tobytes())
+    return h
+
+
+def fold(words: np.ndarray, begin: np.ndarray, count: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of count words from each begin on, one after another."""
+    h, live, k = mix(count.astype(U64) + U64(seed)), np.flatnonzero(count > 0), 0
+    while len(live):
+        h[live] = pair(h[live], words[begin[live] + k])
+        k += 1
+        live = live[count[live] > k]
+    return h
+
+
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the size words from each place on, from hashes of 1, 2, 4 ... words."""
+    n, out, at, level, k = max(len(words) - size + 1, 0), None, 0, words, 1
+    while True:
+        if size & k:
+            own = level[at : at + n]
+            out, at = own if out is None else pair(out, own), at + k
+        if 2 * k > size:
+            return out
+        level, k = pair(level[: len(level) - k], level[k:]) if len(level) > k else level[:0], 2 * k
+
+
 def window_hashes(words: np.ndarray, first: np.ndarray, size: int, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, word index of each window's start, document of each) of all windows of size consecutive words. short: a document of fewer words, but not none, is one window."""
     n = np.diff(first)
     count = np.maximum(n - size + 1, (n > 0).astype(n.dtype) if short else 0)
     doc = np.repeat(np.arange(len(n)), count)
     begin = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][doc]
-    end = np.minimum(begin + size, first[1:][doc])
-    return rolling(words, _WORD, begin, end), begin, doc
+    few = n[doc] < size
+    if not few.any():
+        return runs(words, size)[begin], begin, doc
+    h = np.empty(len(begin), U64)
+    h[~few] = runs(words, size)[begin[~few]]
+    h[few] = fold(words, begin[few], n[doc[few]])
+    return h, begin, doc
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

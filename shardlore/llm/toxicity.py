@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, settle, table
-from .textbytes import buffers, lower_ascii, rolling, slices
+from .textbytes import buffers, lower_ascii, slices, span_hashes
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -31,7 +31,6 @@ _STOP[[10, 33, 46, 63]] = True
 BEGINNINGS, LONGEST, BIAS = (3, 4, 5, 6, 7, 8, 9), 64, -10.0
 #: Of a document with more sentences than this, the weak ones count by their mean.
 BAG = 1024
-_BASE = 0x9E3779B97F4A7C15
 #: Texts are worked through in slices of so many bytes, or a document, which bounds the memory.
 SLICE = 1 << 20
 
@@ -55,12 +54,12 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     fresh[1:] = (run[1:] != run[:-1]) | (place[1:] != place[:-1])
     sentence = np.cumsum(fresh) - 1
     begin = starts[fresh]
-    values = low.astype(np.uint64) + np.uint64(1)
-    hashes, where = [rolling(values, _BASE, starts, ends)], [sentence]
+    hashes, where = [span_hashes(low, starts, ends)], [sentence]
     for k in BEGINNINGS:
         long = ends - starts > k
-        hashes.append(rolling(values, _BASE, starts[long], starts[long] + k) + np.uint64(k))
-        where.append(sentence[long])
+        if long.any():
+            hashes.append(span_hashes(low, starts[long], starts[long] + k) + np.uint64(k))
+            where.append(sentence[long])
     return np.concatenate(hashes), np.concatenate(where), np.searchsorted(off, begin, "right") - 1, begin
 
 

@@ -3,38 +3,39 @@
 1. Documents with one set of shingles are one representative, the smallest doc_id.
 2. Tablets learn in how many representatives each shingle's cell occurs. Shingles are ordered by that count, then by hash. A
    shingle whose cell counts one is in one document, and only takes its place in the order.
-3. A set of n shingles that must share ceil(0.75 n) has, for each l, a prefix of n - ceil(0.75 n) + l shingles, and two sets that are
-   similar share l shingles of both prefixes. Each document takes the l whose estimated cost, the postings it meets and the
-   candidates it leaves to verify, is least; a pair uses the smaller l of its two.
-4. Pairs that share enough of their prefixes are verified exactly on their whole sets. Shingles whose lists are longer than
-   `hot` would make pairs with the square of the list's length: there a few documents of the list are compared to the others of
-   other components, list by list, until few pairs of different components are left; those are then compared all. What is
-   already one component needs no pair, and nothing else is skipped.
-5. Links make components.
+3. Two sets of n and m shingles are similar if they share s = ceil(0.75 (n + m) / 1.75) or more. Then, for each l, at least l of
+   what they share stands at places up to n - s + l - 1 of the one order and m - s + l - 1 of the other. A document takes the l
+   whose estimated cost, the postings that its prefix meets and the candidates that these leave to verify, is least; a pair
+   uses the smaller l of its two, and is verified only where it shares l.
+4. Stars: the document of a shingle's list that has it earliest in its order, the most typical one, meets the others of the
+   list; rows are as many as postings. Verified links make components.
+5. What is one component already needs no pair. Lists with documents of several components are joined by (shingle, class of the
+   shorter one's size): documents outside a list's largest component with all others, exactly, by places and l. Nothing else is skipped.
+6. Pairs are verified on their whole sets, one set travelling to the other's tablet. Links make components.
 
 A text of fewer words than a shingle is one shingle; without words it has none and links with nothing. Null is empty. A null
 doc_id takes part and is never a component's name, unless the component has nothing else; rows that share a doc_id are documents
-of their own. An empty table gives no rows. Shingles are told apart by 64-bit hashes, and by their top 40 bits within a pair."""
+of their own. Of equal sizes the row with the smaller key counts as the shorter one. Very long texts are tablets of their own. An
+empty table gives no rows. Shingles are told apart by 64-bit hashes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, table, unsettle
 from .components import components
-from .tablets import NO_ID, Tablet, _each, answer, ask, cell_bits, count_blocks, discard, distinct, expand, merge_counts, row_cells, segment_sizes, segments, squeeze, tablets
-from .textbytes import U64, lower_ascii, mix, window_hashes, word_bounds, word_hashes
+from .tablets import Tablet, _each, answer, ask, cell_bits, count_blocks, discard, distinct, expand, merge_counts, row_cells, segment_sizes, squeeze, tablets
+from .textbytes import U64, lower_ascii, mix, span_hashes, window_hashes, word_bounds
 
 COUNTS, MEMBERS = 0, 9
-DEPTHS = 4
-#: Documents of a long list that meet the others in a round, and the rounds after which what is left is compared all.
-#: It also ends when pairs left per posting are few, or when a round no longer halves them: what is left is apart, and must be refuted.
-LEADERS, LAST, FEW = 4, 6, 16
+#: The largest l, the cost of verifying a shingle against that of a posting, and the growth of a class of sizes.
+DEPTHS, VERIFY, CLASS = 4, 0.02, 1.07
 
 
 class Sets:
@@ -43,7 +44,7 @@ class Sets:
     def __init__(self, t: Tablet, size: int, only: np.ndarray | None = None):
         data = lower_ascii(t.data)
         starts, ends, first = word_bounds(data, t.off)
-        h, _, doc = window_hashes(word_hashes(data, starts, ends), first, size, short=True)
+        h, _, doc = window_hashes(span_hashes(data, starts, ends), first, size, short=True)
         if only is not None:
             keep = only[doc]
             h, doc = h[keep], doc[keep]
@@ -73,19 +74,18 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def depth(n: int, counts: np.ndarray, per_hundred: int) -> int:
-    """The cheapest l: postings met by the prefix, and candidates, at most postings / l, each at the cost of a merge."""
-    base = n - -(-per_hundred * n // 100)
-    met = np.cumsum(np.minimum(np.append(counts, np.zeros(DEPTHS)), 1e9) - 1)[base : base + DEPTHS]
+    """The cheapest l of a set of n whose shingles, in order, occur so often: postings that a partner of the same size meets, and candidates, at most postings / l, each at the cost of a merge."""
+    least, even = n - -(-per_hundred * n // 100), n - -(-2 * per_hundred * n // (100 + per_hundred))
+    met = np.cumsum(counts - 1)
     ls = np.arange(1, DEPTHS + 1)
-    ok = base + ls <= n
-    return int(ls[ok][np.argmin((met * (1 + 0.02 * n / ls))[ok])]) if ok.any() else 1
+    ls = ls[least + ls <= n]
+    return int(ls[np.argmin(met[even + ls - 1] * (1 + VERIFY * n / ls))]) if len(ls) else 1
 
 
-def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32, tablet_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the component), key (the row), representative (its key). Similar: 100 * shared >= per_hundred * joined."""
     tabs = tablets(docs, tablet_bytes, id_col, text_col)
-    spark = docs.sparkSession
-    log_s = segments(spark)
+    log_s = tabs.log_segments
     bits = cell_bits((tabs.agg(F.sum("n_bytes")).first()[0] or 0) // 5, log_s)
 
     def describe(tablet: int, content: bytes) -> pa.RecordBatch:
@@ -93,12 +93,12 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
         x = Sets(t, size)
         sums = [np.append(U64(0), np.cumsum(v, dtype=np.uint64)) for v in (x.h, mix(x.h ^ U64(0x5851F42D4C957F2D)))]
         a, b = ((s[x.upto[1:]] - s[x.upto[:-1]]).view(np.int64) for s in sums)
-        return pa.RecordBatch.from_arrays([pa.array(t.ids), pa.array(np.full(len(t.ids), tablet)), pa.array(np.arange(len(t.ids))), pa.array(x.n), pa.array(a), pa.array(b)], names=["doc_id", "tablet", "place", "n", "sig_a", "sig_b"])
+        return pa.RecordBatch.from_arrays([t.doc_ids(), pa.array(np.full(len(t.ids), tablet)), pa.array(np.arange(len(t.ids))), pa.array(x.n), pa.array(a), pa.array(b)], names=["doc_id", "tablet", "place", "n", "sig_a", "sig_b"])
 
     rows = settle(_each(tabs, describe, None, "doc_id long, tablet long, place long, n long, sig_a long, sig_b long"))
     key = F.shiftleft("tablet", 20) + F.col("place")
     # Rows without shingles are kept apart: each is its own component.
-    reps = settle(rows.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct("doc_id", "tablet", "place")).alias("r")).select("n", "sig_a", "sig_b", "r.*"))
+    reps = settle(rows.where("n > 0").groupBy("n", "sig_a", "sig_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tablet", "place")).alias("r")).select("n", "sig_a", "sig_b", "r.doc_id", "r.tablet", "r.place"))
     listed = settle(_listed(reps))
 
     def count(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
@@ -127,32 +127,34 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
             p = np.arange(base + ell)
             p = p[d[p] > 1]
             if len(p):
-                for o, v in zip(out, (h[a + p].view(np.int64), np.full(len(p), i), np.full(len(p), n), np.maximum(p - base + 1, 1), np.full(len(p), ell)), strict=True):
+                for o, v in zip(out, (h[a + p].view(np.int64), np.full(len(p), i), np.full(len(p), n), p, np.full(len(p), ell)), strict=True):
                     o.append(v)
-        token, place, n, level, ell = (np.concatenate([np.zeros(0, np.int64), *o]) for o in out)
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array((tablet << 20) + place), pa.array(n.astype(np.int32)), pa.array(level.astype(np.int8)), pa.array(ell.astype(np.int8))], names=["token", "key", "n", "level", "ell"])
+        token, place, n, p, ell = (np.concatenate([np.zeros(0, np.int64), *o]) for o in out)
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array((tablet << 20) + place), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(ell.astype(np.int8))], names=["token", "key", "n", "p", "ell"])
 
-    first = settle(_each(tabs, prefixes, counts.unionByName(listed), "token long, key long, n int, level byte, ell byte"))
-    often = first.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    postings = settle(first.join(often, "token"))
-    short, long = postings.where(F.col("size") <= hot), settle(postings.where(F.col("size") > hot).select("token", "key", "n", "level", "ell"))
+    first = settle(_each(tabs, prefixes, counts.unionByName(listed), "token long, key long, n int, p int, ell byte"))
 
-    def sized(a: str, b: str):
-        return 100 * F.least(a, b) >= per_hundred * F.greatest(a, b)
+    def least_shared(n: Column, m: Column) -> Column:
+        """What sets of n and m shingles must share: a whole number above 75 (n + m) / 175."""
+        up = per_hundred * (n.cast("long") + m.cast("long")) + (99 + per_hundred)
+        return (up - F.pmod(up, F.lit(100 + per_hundred))) / (100 + per_hundred)
 
-    def side(p: DataFrame, s: str) -> DataFrame:
-        return p.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "level", "ell")))
+    def near(a: str, b: str) -> Column:
+        """Sizes and places allow the rows with these prefixes to be one of the l first that similar sets share."""
+        c = lambda s, k: F.col(f"{s}{k}")
+        need, ell = least_shared(c(a, "n"), c(b, "n")), F.least(c(a, "ell"), c(b, "ell")) - 1
+        return (need <= F.least(c(a, "n"), c(b, "n"))) & (c(a, "p") <= c(a, "n") - need + ell) & (c(b, "p") <= c(b, "n") - need + ell)
 
-    hot_of = long.groupBy("key").agg(F.count("*").alias("n_hot"))
-    pairs = side(short, "a").join(side(short, "b"), "token").where("key_a < key_b").where(sized("n_a", "n_b")).where(F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b"))
-    pairs = pairs.groupBy("key_a", "key_b").agg(F.count("*").alias("shared"), F.min(F.least("ell_a", "ell_b")).alias("ell"))
-    # Shingles with long lists aren't counted here, so as many may be missing.
-    pairs = pairs.where("shared >= ell").unionByName(pairs.where("shared < ell").join(hot_of.select(F.col("key").alias("key_a"), F.col("n_hot").alias("x")), "key_a").join(hot_of.select(F.col("key").alias("key_b"), F.col("n_hot").alias("y")), "key_b").where(F.col("shared") + F.least("x", "y") >= F.col("ell")).select("key_a", "key_b", "shared", "ell"))
-    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    def matched(rows: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share l of their prefixes."""
+        return rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("l").alias("l")).where("shared >= l").select("a", "b")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar. The smaller key's set travels to the other's tablet."""
-        ship = settle(pairs.select("a", "b", F.shiftright("a", 20).alias("ta"), F.shiftright("b", 20).alias("tb")))
+    def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+        return rows.select(F.col(f"{a}key").alias("a"), F.col(f"{b}key").alias("b"), F.least(F.col(f"{a}ell"), F.col(f"{b}ell")).alias("l"))
+
+    def verified(found: DataFrame) -> DataFrame:
+        """The pairs that are similar. The set of a travels to the tablet of b."""
+        ship = settle(found.select("a", "b", F.shiftright("a", 20).alias("ta"), F.shiftright("b", 20).alias("tb")))
 
         def sets(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
             asked = np.frombuffer(answers.get((MEMBERS, 1), b""), "<i8").reshape(-1, 2)  # (place, tablet to send it to)
@@ -162,7 +164,7 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
             only = np.zeros(len(t.ids), bool)
             only[asked[:, 0]] = True
             x = Sets(t, size, only)
-            body = {i: squeeze(x.h[x.upto[i] : x.upto[i + 1]] >> U64(24)) for i in np.unique(asked[:, 0]).tolist()}
+            body = {i: squeeze(np.diff(x.h[x.upto[i] : x.upto[i + 1]], prepend=U64(0))) for i in np.unique(asked[:, 0]).tolist()}
             return _packets([int(d) for d in asked[:, 1]], [(tablet << 20) + int(p) for p in asked[:, 0]], [body[int(p)] for p in asked[:, 0]])
 
         def wanted(group: pa.Table) -> pa.Table:
@@ -182,15 +184,12 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
                 only = np.zeros(len(t.ids), bool)
                 only[b & ((1 << 20) - 1)] = True
                 x = Sets(t, size, only)
-                of: dict[int, np.ndarray] = {}
                 last = None
                 for i in np.lexsort((b, a)).tolist():
                     if a[i] != last:
-                        last, mine = a[i], expand(body[int(a[i])].as_py(), np.uint64)
+                        last, mine = a[i], np.cumsum(expand(body[int(a[i])].as_py(), np.uint64), dtype=np.uint64)
                     p = int(b[i]) & ((1 << 20) - 1)
-                    if p not in of:
-                        of[p] = x.h[x.upto[p] : x.upto[p + 1]] >> U64(24)
-                    theirs = of[p]
+                    theirs = x.h[x.upto[p] : x.upto[p + 1]]
                     at = np.searchsorted(theirs, mine)
                     shared = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum())
                     if 100 * shared >= per_hundred * (len(mine) + len(theirs) - shared):
@@ -198,46 +197,45 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, hot: int = 32
             return pa.table({"a": pa.array(a[yes], pa.int64()), "b": pa.array(b[yes], pa.int64())})
 
         mail = sent.select("tablet", "key", F.lit(None).cast("long").alias("other"), "body").unionByName(ship.select(F.col("tb").alias("tablet"), F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("body")))
-        return settle(tabs.select("tablet", "content").groupBy("tablet").cogroup(mail.groupBy("tablet")).applyInArrow(check, "a long, b long"))
-
-    def stars(now: DataFrame, rounds: int) -> DataFrame:
-        """A few documents of each list, others in each round, meet those of other components. Lists of one group choose the same ones."""
-        seeds = range(LEADERS * rounds, LEADERS * rounds + LEADERS)
-        picks = [F.min(F.struct(F.xxhash64("component", F.lit(i)).alias("o"), F.xxhash64("key", F.lit(i)).alias("p"), "key", "component", "n")) for i in seeds]
-        lead = now.groupBy("token").agg(F.array(*picks).alias("s")).select("token", F.explode(F.array_distinct("s")).alias("s"))
-        star = now.join(lead, "token").where(F.col("component") != F.col("s.component")).where(100 * F.least("n", "s.n") >= per_hundred * F.greatest("n", "s.n"))
-        return star.select(F.least("key", "s.key").alias("a"), F.greatest("key", "s.key").alias("b")).distinct()
-
-    rounds, before, tried = 0, float("inf"), settle(pairs.unionByName(stars(long.withColumn("component", F.col("key")), 0)).distinct())
-    links = verified(tried)
-    while True:
-        c = components(links)
-        now = settle(long.join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
-        sizes = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left = sizes.agg(F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2), F.lit(0.0)), F.sum("t")).first()
-        if rounds == LAST or not left[0]:
-            break
-        mixed = now.join(sizes.where("t * t > q").select("token"), "token")
-        if rounds + 1 < LAST and left[0] > FEW * left[1] and left[0] < before / 2:
-            rounds, before = rounds + 1, left[0]
-            new = stars(mixed, rounds)
-        else:
-            rounds = LAST
-            own = mixed.select("token", "key", "n", "level", "ell", "component")
-            x, y = (own.select("token", *(F.col(k).alias(f"{k}_{s}") for k in ("key", "n", "level", "ell", "component"))) for s in "ab")
-            new = x.join(y, "token").where("key_a < key_b and component_a <> component_b").where(F.greatest("level_a", "level_b") <= F.least("ell_a", "ell_b")).where(sized("n_a", "n_b")).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
-        new = settle(new.join(tried, ["a", "b"], "left_anti"))
-        links = settle(links.unionByName(verified(new)))
-        tried = tried.unionByName(new)
+        out = settle(tabs.select("tablet", "content").groupBy("tablet").cogroup(mail.groupBy("tablet")).applyInArrow(check, "a long, b long"))
+        unsettle(ship)
+        return out
+
+    leads = first.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct((F.col("p") / F.col("n")).alias("at"), "key", "n", "p", "ell")).alias("lead")).where("size > 1")
+    met = first.join(leads.select("token", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("key", "n", "p", "ell"))), "token")
+    star = met.select("*", *(F.col(c).alias(f"own_{c}") for c in ("key", "n", "p", "ell"))).where("key <> lead_key").where(near("lead_", "own_"))
+    links = verified(matched(pairs(star, "lead_", "own_")))
+    named = components(links)
+
+    # The lists that hold several components, and each list's largest one.
+    now = settle(first.join(named.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    sizes = now.groupBy("token", "component").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("kinds"), F.max_by("component", F.struct("c", "component")).alias("largest")).where("kinds > 1")
+    mixed = settle(now.join(sizes.select("token", "largest"), "token").select("token", "key", "n", "p", "ell", "component", (F.col("component") != F.col("largest")).alias("minor")))
+    of_size = lambda n: F.floor(F.ln(n) / math.log(CLASS)).cast("int")
+    # As the shorter of two, and as the longer or equal one: the places that can count there.
+    n, place = F.col("n"), F.col("p") - F.col("ell") + 1
+    shorter = mixed.where(place <= n - least_shared(n, n)).select("token", of_size(n).alias("class"), *(F.col(c).alias(f"s_{c}") for c in ("key", "n", "p", "ell", "component", "minor")))
+    lowest = F.ceil(F.lit(per_hundred / 100) * n)
+    longer = mixed.select("*", F.explode(F.sequence(of_size(lowest), of_size(n))).alias("class"))
+    longer = longer.where(place <= n - least_shared(n, F.greatest(lowest, F.floor(F.pow(F.lit(CLASS), F.col("class"))))))
+    longer = longer.select("token", "class", *(F.col(c).alias(f"t_{c}") for c in ("key", "n", "p", "ell", "component", "minor")))
+    apart = (F.col("s_component") != F.col("t_component")) & ((F.col("s_n") < F.col("t_n")) | (F.col("s_n") == F.col("t_n")) & (F.col("s_key") < F.col("t_key"))) & near("s_", "t_")
+    by = ["token", "class"]
+    found = pairs(shorter.where("s_minor").join(longer, by).where(apart), "s_", "t_").withColumn("ship", F.col("a"))
+    found = found.unionByName(pairs(shorter.where("not s_minor").join(longer.where("t_minor"), by).where(apart), "s_", "t_").withColumn("ship", F.col("b")))
+    # The set outside the largest component travels: those inside may be many for one outside.
+    found = found.select(F.col("ship").alias("a"), (F.col("a") + F.col("b") - F.col("ship")).alias("b"), "l")
+    more = verified(matched(found))
+    c = components(links.unionByName(more))
     discard(tabs)  # what follows reads small tables alone
+    unsettle(listed, counts, first, now, mixed, more, links)
     named = reps.withColumn("key", key).join(c.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     names = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(names, "component").select("n", "sig_a", "sig_b", F.col("key").alias("representative"), "component_id")
     keyed = rows.withColumn("key", key)
     out = keyed.where("n > 0").join(named, ["n", "sig_a", "sig_b"]).select("doc_id", "n", "component_id", "key", "representative")
     out = out.unionByName(keyed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "key", F.col("key").alias("representative")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), "key", "representative")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "key", "representative")
 
 
 def _packets(to: list[int], keys: list[int], bodies: list[bytes]) -> pa.RecordBatch:

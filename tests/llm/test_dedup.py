@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shardlore.llm.components import components
-from shardlore.llm.jaccard import similar
+from shardlore.llm.jaccard import depth, similar
 from shardlore.llm.substrings import remove_repeats
 from shardlore.llm.suffixes import remove_substrings
 from shardlore.llm.tablets import tidy
@@ -71,13 +72,93 @@ def test_windows(data, tablet_bytes):
     assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in got} == brute.windows(rows)
 
 
-@pytest.mark.parametrize("tablet_bytes,hot", [(4 << 20, 32), (3000, 2), (3000, 8)])
-def test_classes(data, tablet_bytes, hot):
+@pytest.mark.parametrize("tablet_bytes", [4 << 20, 3000])
+def test_classes(data, tablet_bytes):
     rows, df = data
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df, tablet_bytes=tablet_bytes, hot=hot).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df, tablet_bytes=tablet_bytes).collect()}
     assert got == brute.classes(rows)
 
 
+@pytest.mark.parametrize("verify", [0.0, 0.02, 50.0])
+def test_groups_on_the_edge(spark, monkeypatch, verify):
+    """Many copies with so many changes that some are just similar and some just not, of several sizes, and with every depth of prefix."""
+    from pyspark import cloudpickle as own
+
+    from shardlore.llm import jaccard
+
+    r = random.Random(5)
+    rows = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(r.choice([30, 60, 100]))]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"n{r.randrange(30)}"
+            rows.append(" ".join(w[r.randint(0, 6) : len(w) - r.randint(0, 6)]))
+    line = " ".join(f"common{i}" for i in range(40))
+    rows += [line + " " + " ".join(f"{k}x{i}" for i in range(r.randint(6, 20))) for k in range(80)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(jaccard, "VERIFY", verify)
+    own.register_pickle_by_value(jaccard)
+    try:
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tablet_bytes=9000).collect()}
+    finally:
+        own.unregister_pickle_by_value(jaccard)
+    want = brute.classes(rows)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_depth():
+    """Few long lists are not worth more shared shingles, many are; what is in one document costs nothing."""
+    at = lambda rare: depth(100, np.array([1] * rare + [60] * (100 - rare)), 75)
+    assert at(100) == at(15) == at(14) == 1 and 1 < at(11) < at(4) == 4
+
+
+def thue_morse(k):
+    t = [0]
+    for _ in range(k):
+        t += [1 - x for x in t]
+    return t
+
+
+def test_words_that_polynomials_confuse(spark):
+    """Thue-Morse words, of letters and of words, and their complements."""
+    t = thue_morse(10)
+    letters = ["".join("ab"[x ^ y] for x in t) for y in (0, 1)]
+    text = [" ".join(f"{letters[y]}{'' if i % 2 else 'z'}{i // 2}" for i in range(26)) for y in (0, 1)]
+    plain = [" ".join(letters[y] for _ in range(13)) for y in (0, 1)]
+    words = [" ".join(("left", "right")[x ^ y] for x in t) for y in (0, 1)]
+    rows = list(enumerate([*plain, *text, *words, *letters, *letters]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.sha) for r in remove_repeats(df).withColumn("sha", F.sha2("kept", 256)).collect()} == brute.windows(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in remove_substrings(df).withColumn("sha", F.sha2("kept", 256)).collect()} == brute.substrings(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in similar(df).collect()} == brute.classes(rows)
+
+
+def test_extreme_ids(spark):
+    """The least and the greatest id are ids like others, and null is larger than both."""
+    t = " ".join(f"v{i}" for i in range(60))
+    low, high = -(1 << 63), (1 << 63) - 1
+    df = spark.createDataFrame([(None, t), (high, t), (low, t), (None, "x y"), (high, None)], "doc_id long, text string").repartition(2)
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.doc_id, r.n_removed) for r in remove_repeats(df).collect()) == order([(None, 60), (high, 60), (low, 0), (None, 0), (high, 0)])
+    assert order((r.doc_id, r.n_removed) for r in remove_substrings(df).collect()) == order([(None, len(t)), (high, len(t)), (low, 0), (None, 0), (high, 0)])
+    assert order((r.doc_id, r.component_id) for r in similar(df).collect()) == order([(None, low), (high, low), (low, low), (None, None), (high, high)])
+    two = spark.createDataFrame([(None, t), (high, t)], "doc_id long, text string")
+    assert order((r.doc_id, r.n_removed) for r in remove_repeats(two).collect()) == order([(None, 60), (high, 0)])
+
+
+def test_very_long_texts(spark):
+    """Texts longer than a tablet, which repeat each other and themselves."""
+    r = random.Random(8)
+    long = " ".join(f"w{r.randrange(3000)}" for _ in range(30_000))
+    rows = [(1, long), (2, "start " + long[50_000:120_000] + " end"), (3, long), (4, "q" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {x.doc_id: (x.n_words, x.n_removed, x.sha) for x in remove_repeats(df, tablet_bytes=20_000).withColumn("sha", F.sha2("kept", 256)).collect()} == brute.windows(rows)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.sha) for x in remove_substrings(df, tablet_bytes=20_000).withColumn("sha", F.sha2("kept", 256)).collect()} == brute.substrings(rows)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in similar(df, tablet_bytes=20_000).collect()} == brute.classes(rows)
+
+
 def test_null_ids_and_repeated_rows(spark):
     t = " ".join(f"v{i}" for i in range(60))
     df = spark.createDataFrame([(None, t), (None, t), (3, t), (3, t), (5, None)], "doc_id long, text string")

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,9 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """limit: distinct pieces kept; beyond that the memory starts anew, which changes no result."""
+    """limit: bytes of distinct pieces kept, with their ids; beyond that the memory starts anew, which changes no result. Texts are encoded in slices of slice_bytes, very long ones in parts."""
 
-    def __init__(self, path: str | None = None, limit: int = 300_000, slice_bytes: int = 4 << 20):
+    def __init__(self, path: str | None = None, limit: int = 48 << 20, slice_bytes: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -64,7 +66,7 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.off = np.zeros(1 << 12, np.int64)
-        self.n = 0
+        self.n = self.held = 0
 
     def _add(self, pieces: list[str]) -> None:
         rest, lists = [], {}
@@ -82,6 +84,8 @@ class Encoder:
         flat = np.fromiter((i for x in lists.values() for i in x), np.uint32, int(lens.sum()))
         for p in lists:
             self.known[p] = len(self.known)
+        # A piece has about 150 bytes of entry, offset and number beside its letters and ids.
+        self.held += 150 * len(lists) + sum(map(len, lists)) + 4 * len(flat)
         used = int(self.off[self.n])
         while len(self.ids) < used + len(flat):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -93,19 +97,45 @@ class Encoder:
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offset of each text)."""
+        got = list(self.parts(col))
+        return np.concatenate([np.zeros(0, np.uint32), *(g[2] for g in got)]), np.cumsum(np.concatenate([np.zeros(1, np.int64), *(g[3] for g in got)]))
+
+    def parts(self, col: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end, ids of these texts, number of each) of slices. end_id follows each text."""
         data, off = buffers(col)
-        ids, counts = [], [np.zeros(1, np.int64)]
         for a, b in slices(off, self.slice_bytes):
             part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
             odd = RARE[part]
             odd[:-1] |= (part[:-1] == 60) & (part[1:] == 124)
             if odd.any():  # control characters, or what may be a special token: such texts go to the library whole
-                x, n = self._whole([bytes(part[i:j]).decode() for i, j in zip(at[:-1], at[1:], strict=True)], np.add.reduceat(np.append(odd, False), at[:-1]) > 0, part, at)
+                ids, n = self._whole([bytes(part[i:j]).decode() for i, j in zip(at[:-1], at[1:], strict=True)], np.add.reduceat(np.append(odd, False), at[:-1]) > 0, part, at)
             else:
-                x, n = self._slice(part, at)
-            ids.append(x)
-            counts.append(n)
-        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum(np.concatenate(counts))
+                ids, n = self._long(part) if b == a + 1 and len(part) > 2 * self.slice_bytes else self._slice(part, at)
+            if end_id is not None:
+                out, ends = np.empty(len(ids) + len(n), np.uint32), np.cumsum(n + 1)
+                mine = np.ones(len(out), bool)
+                mine[ends - 1] = False
+                out[mine], out[ends - 1] = ids, end_id
+                ids, n = out, n + 1
+            yield a, b, ids, n
+
+    def _long(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A text longer than a slice, cut where a word begins after white space."""
+        out, a = [], 0
+        while a < len(data):
+            b = a + self.slice_bytes
+            while b < len(data):
+                near = SPACE[data[b - 1 : b + 4095]]
+                starts = np.flatnonzero(near[:-1] & ~near[1:])
+                if len(starts):
+                    b += int(starts[0])
+                    break
+                b += 4095
+            b = min(b, len(data))
+            out.append(self._slice(data[a:b], np.array([0, b - a]))[0])
+            a = b
+        ids = np.concatenate(out)
+        return ids, np.array([len(ids)])
 
     def _whole(self, texts: list[str], odd: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = []
@@ -130,7 +160,7 @@ class Encoder:
         text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
         coded = text.dictionary_encode()
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.n > self.limit:
+        if self.held > self.limit:
             self.forget()
         if new := [p for p in own if p not in self.known]:
             self._add(new)
@@ -147,8 +177,15 @@ class Encoder:
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
-    """This worker's encoder; it outlives a task."""
+@contextmanager
+def encoder(path: str | None) -> Iterator[Encoder]:
+    """This worker's encoder, which the vocabulary outlives a task in; of its memory of pieces no more than a third of the limit does."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    enc = _ENCODERS[path]
+    try:
+        yield enc
+    finally:
+        if enc.held > enc.limit // 3:
+            enc.forget()
+        pa.default_memory_pool().release_unused()

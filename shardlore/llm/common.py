@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,19 @@ def input_bytes(df: DataFrame) -> int:
     return sum(x for x in sizes if x < 1 << 60)
 
 
+def lowest(df: DataFrame, hashed: Column, most: int) -> DataFrame:
+    """The rows with the `most` lowest hashes, with the hash as column "hash"; rows of one hash are one. The cut is found by counting hashes by their first 16 bits, so no task and no driver sees more than `most` and a 65,536th of all."""
+    d = df.withColumn("hash", F.shiftrightunsigned(hashed, 1))
+    hashes, first = d.select("hash").distinct(), F.shiftright("hash", 47)
+    cut, n = 0, 0
+    for r in sorted(hashes.groupBy(first.alias("first")).count().collect()):
+        cut, n = r["first"], n + r["count"]
+        if n >= most:
+            break
+    near = sorted(r["hash"] for r in hashes.where(first <= cut).collect())
+    return d.where(F.col("hash") <= (near[min(most, len(near)) - 1] if near else -1)).dropDuplicates(["hash"])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

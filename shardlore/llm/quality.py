@@ -1,12 +1,12 @@
 """Quality rules: statistics of whole texts, and a decision list that is learned from labels.
 
 Statistics are DataFrame expressions over one row each; nothing is shuffled for them. The decision list comes from sequential
-covering on at most `train_limit` labelled rows (those with the lowest hash of their id): a rule is a conjunction of thresholds,
+covering on at most `train_limit` labelled rows (those with the lowest hash of id and statistics, equal rows once): a rule is a conjunction of thresholds,
 grown by information gain on two thirds of the rows and pruned on the rest; rules are taken while they are right often enough
 on the rows held for pruning. The list becomes one ordered Spark conditional expression over the statistics' columns.
 
 A null or empty text has no words and fails the base rules. Without labels the list is empty and keeps all that pass the base
-rules. Repeated rows and null ids give a row each; an empty table gives none."""
+rules. Repeated rows and null ids give a row each; a very long text is one row's work; an empty table gives none."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import lowest, settle, table, unsettle
 from .decontaminate import bound
 
 GAP = r"[\x20\x09-\x0D]+"
@@ -133,8 +133,9 @@ def conditional(rules: list[Rule]) -> Column:
 
 def training_rows(stats: DataFrame, labels: DataFrame, train_limit: int, label_col: str = "quality") -> list[tuple[dict, int]]:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.min("y").alias("y"))
-    own = stats.where(~F.col("base_failed")).join(known, "doc_id").select("y", "doc_id", *(f"f_{f}" for f in FEATURES))
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", *(f"f_{f}" for f in FEATURES)).limit(train_limit).collect()
+    own = settle(stats.where(~F.col("base_failed")).join(known, "doc_id").select("y", "doc_id", *(f"f_{f}" for f in FEATURES)))
+    rows = sorted(lowest(own, F.xxhash64("doc_id", *(f"f_{f}" for f in FEATURES)), train_limit).collect(), key=lambda r: r["hash"])
+    unsettle(own)
     return [({f: r[f"f_{f}"] for f in FEATURES}, 1 - r["y"]) for r in rows]
 
 

@@ -4,12 +4,12 @@ A sentence's score is a logistic function of hashed words and word beginnings; a
 1 - prod(1 - s). A sentence without a feature that weighs adds nothing, and sentences below one half add up to what BAG of them
 would at most, so that length alone makes no document toxic; one sentence of a half or more counts whole, however long the
 document. Only documents carry labels. Weights are fitted on the driver to at most `train_limit` labelled documents
-(those with the lowest hash of their id); they are at most `features` numbers, whatever the corpus. All documents are then
-scored where they lie, without a shuffle, and the worst sentence of each is located in the text.
+(those with the lowest hash of id, then of id and text, equal rows once); they are at most `features` numbers, whatever the corpus. All documents are then
+scored where they lie, without a shuffle, and the worst sentence of each is located in the text; of equals the first.
 
 Training never sees a row whose crc32 of the id's decimal digits, modulo 3, is 1. A null or empty text has no sentence and
 scores 0. Rows with null ids are scored and never trained on or held out; repeated rows are scored each. Without labels of
-both kinds all scores are 0."""
+both kinds all scores are 0. Very long texts are scored whole; an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, settle, table
+from .common import id_text, lowest, settle, table, unsettle
 from .textbytes import buffers, lower_ascii, slices, span_hashes
 
 _LETTER = np.zeros(256, bool)
@@ -125,8 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, train_limit: int = 6000, most: int
     """(sorted hashes, weights). train_limit bounds the ids that are broadcast and the documents that are read twice: once to
     count in how many documents of either label each feature is, once to take the sentences' chosen features to the driver."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
-    own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_limit)
-    rows = settle(id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id").select("y", "text"))
+    own = lowest(settle(own.groupBy("doc_id").agg(F.max("y").alias("y"))), F.xxhash64("doc_id"), train_limit).drop("hash")
+    labelled = settle(id_text(docs, id_col, text_col).join(F.broadcast(own), "doc_id").select("doc_id", "y", "text"))
+    # An id may stand in any number of rows.
+    rows = settle(lowest(labelled, F.xxhash64("doc_id", "text"), train_limit).select("y", "text"))
+    unsettle(labelled)
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     none = np.zeros(0, np.uint64), np.zeros(0)
     if len(sizes) < 2:

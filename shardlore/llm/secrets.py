@@ -9,7 +9,8 @@ expression; finding, judging and redacting are expressions over one row, and not
 Labelled findings are a table (secret, before, path, label). Where none is given they are made by rule from a seed: keys of known and of
 free form behind words that announce them, against numbers, digests, identifiers and placeholders in their usual places.
 
-A null or empty text has no findings. Repeated rows and null ids are scanned each; ties need no rule, findings don't overlap."""
+A null or empty text has no findings. Repeated rows and null ids are scanned each; ties need no rule, findings don't overlap. A
+very long text is scanned whole, in one pass; an empty table has no findings."""
 
 from __future__ import annotations
 
@@ -32,7 +33,8 @@ NEXT = rf"(?!(?i:{WORDS})[\w.-]{{0,16}}[=:])"
 #: What lies before a candidate, from the last one on, and the candidate, group CANDIDATE. The empty groups 2 to 4 tell which kind of value is announced.
 FIND = rf"\G((?s:.)*?(?:(?={KEY_BLOCK})|{LEAD}(?!{KEY_BLOCK})(?:\"()(?=[^\"\n]+\")|'()(?=[^'\n]+')|(){NEXT}(?=[^\s\"'`]))|(?={TOKEN})))({KEY_BLOCK}|\2[^\"\n]+|\3[^'\n]+|\4(?:{NEXT}[^\s\"'`])*[^\s\"'`.,;:)\]}}>]|{TOKEN})"
 CANDIDATE = 5
-BEFORE = 60
+#: Characters before a candidate that the forest sees, and candidates whose starts are summed up at a time.
+BEFORE, BLOCK = 60, 256
 FEATURES = ("length", "transitions", "digits", "distinct", "dictionary", "path", "test_path", "announced", "assigned", "ordinary", "format", "marks")
 # Words that identifiers, paths and placeholders are made of.
 DICTIONARY = ("access", "account", "admin", "api", "auth", "build", "cache", "change", "class", "client", "code", "config", "data", "default", "demo", "dummy", "error", "example", "file", "foo", "function", "group", "here", "home", "image", "index", "item", "key", "list", "local", "model", "module", "name", "node", "number", "order", "page", "password", "path", "project", "public", "release", "report", "sample", "secret", "server", "service", "source", "static", "string", "table", "task", "test", "text", "time", "token", "type", "user", "value", "version", "your")
@@ -72,7 +74,7 @@ def default_findings(seed: int = 7, of_each: int = 60) -> list[tuple[str, str, s
     word = lambda: r.choice(["password", "passwd", "token", "secret", "api_key", "auth_token", "client_secret", "access_key", "Bearer", "private_key"])
     lead = lambda: word() + r.choice(["=", " = ", ": ", ' = "', '="', ":", " "])
     common = lambda: r.choice(["commit ", "sha256: ", "md5 ", "uuid ", "order ", "card ", "invoice no ", "id: ", "build ", "checksum=", "version "])
-    path = lambda: r.choice(["src0", "src7", "web", "forum", "repo/main"])
+    path = lambda: r.choice(["", "notes", "app/main", "mail/archive", "docs/guide"])
     digit = lambda s: s if any(c.isdigit() for c in s) else s[:-1] + "7"
     rows = []
     for _ in range(of_each):
@@ -149,48 +151,58 @@ def voted(trees: list[Tree], f: Column) -> Column:
     return sum((one(t) for t in trees[1:]), one(trees[0])) / len(trees)
 
 
-def found_in(text: Column, path: Column, trees: list[Tree], threshold: float) -> Column:
-    """array<struct<start, secret, score, is_secret>> in order of start (0-based characters)."""
-    kind = "struct<pos:int,out:array<struct<start:int,secret:string,score:double,is_secret:boolean>>>"
+def found_in(text: Column, path: Column, trees: list[Tree]) -> Column:
+    """array<struct<gap, start, secret, score>> in order of start (0-based characters); gap is what lies before, from the last one on.
 
-    def each(t: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            c = x["secret"]
+    Starts are sums of lengths, and what stands before a candidate is handed on, so no string is searched or cut from its
+    beginning again. The sums go by blocks of BLOCK, so that little is copied."""
+    kind = "struct<pos:int,tail:string,out:array<struct<gap:string,start:int,secret:string,score:double>>>"
+    none = F.expr(f"cast(array() as {kind[kind.index('array') : -1]})")
+
+    def step(acc: Column, x: Column) -> Column:
+        def judged(before: Column) -> Column:
+            start = acc["pos"] + F.char_length(x["gap"])
+            own = F.struct(x["gap"].alias("gap"), start.alias("start"), x["secret"].alias("secret"), bound(describe(x["secret"], before, path), lambda f: voted(trees, f)).alias("score"))
+            return F.struct((start + F.char_length(x["secret"])).alias("pos"), last(F.concat(before, x["secret"])).alias("tail"), F.concat(acc["out"], F.array(own)).alias("out")).cast(kind)
 
-            def at(p: Column) -> Column:
-                near = F.greatest(p - BEFORE, F.lit(1))
-                judged = lambda f: F.struct((p - 1).alias("start"), c.alias("secret"), voted(trees, f).alias("score"), (voted(trees, f) >= threshold).alias("is_secret"))
-                return F.struct((p + F.char_length(c)).alias("pos"), F.concat(acc["out"], F.array(bound(describe(c, F.substring(t, near, p - near), path), judged))).alias("out")).cast(kind)
+        return bound(last(F.concat(acc["tail"], x["gap"])), judged)
 
-            return bound(acc["pos"] + F.char_length(x["gap"]), at)
+    last = lambda x: F.substring(x, -BEFORE, BEFORE)
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + F.char_length(x["gap"]) + F.char_length(x["secret"]))
+
+    def each(t: Column) -> Column:
+        def blocks(found: Column) -> Column:
+            cut = F.when(F.size(found) > 0, F.transform(F.sequence(F.lit(1), F.size(found), F.lit(BLOCK)), lambda i: F.slice(found, i, BLOCK)))
+            return F.when(F.size(found) > 0, bound(cut, lambda own: bound(starts(own), lambda at: F.flatten(F.zip_with(own, at, lambda x, p: F.aggregate(x, F.struct(p, before(p), none).cast(kind), step, lambda acc: acc["out"])))))).otherwise(none)
 
-        found = F.zip_with(F.regexp_extract_all(t, F.lit(FIND), F.lit(1)), F.regexp_extract_all(t, F.lit(FIND), F.lit(CANDIDATE)), lambda g, c: F.struct(g.alias("gap"), c.alias("secret")))
-        return F.aggregate(found, F.expr(f"cast(struct(1, array()) as {kind})"), step)["out"]
+        starts = lambda own: F.aggregate(F.transform(own, total), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)), lambda acc: F.slice(acc, 1, F.size(own)))
+        before = lambda p: F.substring(t, F.greatest(p - BEFORE, F.lit(0)) + 1, F.least(p, F.lit(BEFORE)))
+        return bound(F.zip_with(F.regexp_extract_all(t, F.lit(FIND), F.lit(1)), F.regexp_extract_all(t, F.lit(FIND), F.lit(CANDIDATE)), lambda g, c: F.struct(g.alias("gap"), c.alias("secret"))), blocks)
 
     return bound(F.coalesce(text, F.lit("")), each)
 
 
+def _path(docs: DataFrame, path_col: str | None) -> Column:
+    return F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """A row per candidate: doc_id, start, length, secret, score, is_secret."""
     trees = forest(docs.sparkSession, findings)
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(found_in(F.col(text_col).cast("string"), path, trees, threshold)))
-    return rows.select("doc_id", "start", F.char_length("secret").alias("length"), "secret", "score", "is_secret")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.inline(found_in(F.col(text_col).cast("string"), _path(docs, path_col), trees)))
+    return rows.select("doc_id", "start", F.char_length("secret").alias("length"), "secret", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5, mark: str = "<secret>", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """docs with each secret in the text replaced by mark; other columns as they were. A null text stays null."""
-    trees = forest(docs.sparkSession, findings)
-    path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    t = F.col(text_col)
+    trees, t = forest(docs.sparkSession, findings), F.col(text_col)
 
     def rebuilt(found: Column) -> Column:
-        start = F.struct(F.lit(1).alias("pos"), F.expr("cast(array() as array<string>)").alias("out"))
-        step = lambda acc, f: F.struct((f["start"] + 1 + F.char_length(f["secret"])).alias("pos"), F.concat(acc["out"], F.array(F.substring(t, acc["pos"], f["start"] + 1 - acc["pos"]), F.lit(mark))).alias("out"))
-        whole = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["pos"], F.char_length(t)))
-        return F.when(F.size(found) > 0, F.aggregate(found, start, step, whole)).otherwise(t)
+        parts = F.array_join(F.transform(found, lambda f: F.concat(f["gap"], F.when(f["score"] >= threshold, F.lit(mark)).otherwise(f["secret"]))), "")
+        end = F.element_at(found, -1)
+        return F.when(F.exists(found, lambda f: f["score"] >= threshold), F.concat(parts, F.substring(t, end["start"] + F.char_length(end["secret"]) + 1, F.char_length(t)))).otherwise(t)
 
-    return docs.withColumn(text_col, bound(F.filter(found_in(t.cast("string"), path, trees, threshold), lambda f: f["is_secret"]), rebuilt))
+    return docs.withColumn(text_col, bound(found_in(t.cast("string"), _path(docs, path_col), trees), rebuilt))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ so one place in s is probed and no window is lost. A probe that hits carries the
 as text. One scan of the documents, and only hits and one row per document are shuffled.
 
 Words are runs of a-z (A-Z lowered), 0-9 and all characters beyond ASCII. A null or empty text has no words. One row comes out
-per input row, also for repeated rows and null ids; an item without an id goes by the name "null"; an empty benchmark hits nothing."""
+per input row, also for repeated rows and null ids; an item without an id goes by the name "null"; an empty benchmark hits nothing,
+and an empty table gives no rows. A very long text is one row's work."""
 
 from __future__ import annotations
 
@@ -87,16 +88,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, broadca
         p = p.select("row", "doc_id", "n", "m", F.lit(0).alias("i"), F.expr("cast(null as array<string>)").alias("items"))
     g = p.groupBy("row", "doc_id").agg(
         F.max("n").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("i").alias("a"), (F.col("i") + F.col("m")).alias("b"))))).alias("hits"),
+        F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("i").alias("a"), (F.col("i") + F.col("m")).alias("b")))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("found"),
     )
-    empty = F.expr("cast(array() as array<struct<a:int,b:int>>)")
-    last = lambda acc: F.element_at(acc, -1)
-    merge = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["a"].alias("a"), F.greatest(last(acc)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x)))
-    g = g.withColumn("n_hit", F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(acc["end"], x["a"]))).cast("long").alias("n")))["n"])
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["a"], x["b"] - 1)))))
+    g = g.withColumn("places", places).withColumn("n_hit", F.size("places").cast("long"))
+    # A span opens and closes where the neighbouring place is none.
+    edge = lambda by: F.filter("places", lambda x, i: F.coalesce(F.get("places", i + by) != x + by, F.lit(True)))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
     return g.select(
         "doc_id", "n_words", "n_hit", F.size("found").cast("long").alias("n_items"), F.sha2(F.array_join("found", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), F.aggregate("hits", empty, merge).alias("spans"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), spans.alias("spans"),
     )
 
 

@@ -27,6 +27,7 @@ class Converter:
 
     partitions: int = 1
     engine: str = "sync"
+    chunk_bytes: int = flat.CHUNK_BYTES
 
     def __post_init__(self):
         if self.partitions < 1:
@@ -50,13 +51,13 @@ class Converter:
             validate.enforce(validate.manifest_mismatches(texts, files))
         validate.enforce(validate.violations(tensors))
         if tensors.isEmpty():
-            raise partition.NothingToPlan("no tensors found in input directory")
+            raise partition.NothingToPlan(f"nothing to convert: the shards of {directory} hold no tensor")
         return partition.plan(tensors, self.partitions)
 
     def convert(self, spark: SparkSession, directory: str, output: str) -> DataFrame:
         """Writes the layout and returns its statistics."""
         planned = self.plan(spark, directory).cache()
-        sinks.write_partitions(planned, output).collect()  # a row per partition
+        sinks.write_partitions(planned, output, self.chunk_bytes).collect()  # a row per partition
         sinks.commit_index(planned.select("name", F.col("dest_offset").alias("offset"), "size", "shape", "stride", "dtype", "partition_id"), output)
         return partition.stats(planned, self.partitions).drop("model")
 

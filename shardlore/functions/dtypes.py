@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import ShardloreError
+
 # Width in bytes of each canonical type.
 WIDTHS = {"bool": 1, "u8": 1, "i8": 1, "i16": 2, "u16": 2, "f16": 2, "bf16": 2, "f32": 4, "i32": 4, "u32": 4, "f64": 8, "i64": 8, "u64": 8}
 # Short spellings.
@@ -19,7 +21,7 @@ FRAMEWORK = {
 SAVED = {k for k in FRAMEWORK if not k.startswith("F8")}
 
 
-class UnknownDtype(ValueError):
+class UnknownDtype(ShardloreError):
     pass
 
 
@@ -69,13 +71,32 @@ def width(name: Column) -> Column:
 _NUMPY = {"bool": "?", "u8": "u1", "i8": "i1", "i16": "<i2", "u16": "<u2", "f16": "<f2", "f32": "<f4", "i32": "<i4", "u32": "<u4", "f64": "<f8", "i64": "<i8", "u64": "<u8"}
 
 
+def _f8_e4m3() -> np.ndarray:
+    """The 256 values: 4 bits of exponent with bias 7, 3 of fraction, no infinities, all ones is not a number."""
+    byte = np.arange(256)
+    e, m = byte >> 3 & 15, byte & 7
+    value = np.where(e == 0, m / 8 * 2.0**-6, (1 + m / 8) * 2.0 ** (e - 7.0))
+    return np.where(byte & 127 == 127, np.nan, np.where(byte > 127, -value, value)).astype(np.float32)
+
+
+#: What numpy has no type for comes as float32.
+_WIDENED = {
+    "bf16": lambda b: (np.frombuffer(b, "<u2").astype("<u4") << 16).view("<f4"),
+    "f8_e4m3": lambda b: _f8_e4m3()[np.frombuffer(b, np.uint8)],
+    "f8_e5m2": lambda b: (np.frombuffer(b, np.uint8).astype("<u2") << 8).view("<f2").astype(np.float32),
+}
+
+
 def decode(data: bytes, dtype: str, shape: list[int] | None = None) -> np.ndarray:
-    """Values of row-major little-endian bytes; an empty tensor gives zeros of its shape. bf16 becomes float32."""
-    name = parse(dtype)
+    """Values of row-major little-endian bytes; an empty tensor gives zeros of its shape. dtype: a canonical or short name, or a file's spelling. bf16 and 8-bit floats become float32."""
+    low = dtype.lower()
+    name = low if low in _WIDENED or low == "c64" else parse(dtype)
     if shape is not None and 0 in shape:
-        return np.zeros(shape, np.float32 if name == "bf16" else _NUMPY[name])
-    if name == "bf16":
-        out = (np.frombuffer(data, "<u2").astype("<u4") << 16).view("<f4")
+        return np.zeros(shape, np.float32 if name in _WIDENED else "<c8" if name == "c64" else _NUMPY[name])
+    if name in _WIDENED:
+        out = _WIDENED[name](data)
+    elif name == "c64":
+        out = np.frombuffer(data, "<c8")
     else:
         out = np.frombuffer(data, _NUMPY[name])
     return out if shape is None else out.reshape(shape)
@@ -88,6 +109,8 @@ def encode(values: np.ndarray, dtype: str | None = None) -> tuple[list[int], str
         kept = ((bits + 0x7FFF + ((bits >> 16) & 1)) >> 16).astype("<u2")
         kept = np.where(np.isnan(values), (bits >> 16).astype("<u2") | 0x40, kept).astype("<u2")
         return list(values.shape), "BF16", kept.tobytes()
+    if values.dtype == np.complex64:
+        return list(values.shape), "C64", np.ascontiguousarray(values, "<c8").tobytes()
     name = next((k for k, v in _NUMPY.items() if np.dtype(v) == values.dtype.newbyteorder("<")), None)
     if name is None:
         raise ValueError(f"unsupported dtype: {values.dtype}")

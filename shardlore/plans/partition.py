@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import ShardloreError
 
-class NothingToPlan(ValueError):
+
+class NothingToPlan(ShardloreError):
     pass
 
 
@@ -85,7 +87,7 @@ def gaps(planned: DataFrame) -> DataFrame:
 
 def stats(planned: DataFrame, n: int) -> DataFrame:
     """The 13 statistics of each model's plan. Means of bytes are whole numbers and count empty partitions and files without tensors up to the last."""
-    whole = lambda a, b: F.floor(F.col(a) / F.col(b)).cast("long")
+    whole = lambda a, b: F.expr(f"{a} div {b}")
     files = planned.groupBy("model", "file_index").agg(F.sum("size").alias("b")).groupBy("model").agg(F.max("b").alias("max_source_file_bytes"), (F.max("file_index") + 1).cast("long").alias("source_file_count"))
     parts = planned.groupBy("model", "partition_id").agg(F.sum("size").alias("b"), F.count_distinct("file_index").alias("f")).groupBy("model").agg(F.max("b").alias("max_partition_bytes"), F.sum("f").alias("f"), F.max("f").alias("max_source_files_per_partition"))
     own = planned.groupBy("model").agg(F.sum("size").alias("total_bytes"), F.count("*").alias("tensor_count"), F.max("size").alias("max_copy_size"))

@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from ..errors import ShardloreError
 from ..functions.dtypes import from_file
 from ..functions.scalars import contiguous_stride
-from .files import listing, read_range
+from .files import children, listing, read_range
 
 SUFFIX = ".safetensors"
 METADATA = "__metadata__"
@@ -24,7 +25,7 @@ CATALOG = "file_index int, path string, header_len long, file_bytes long, name s
 CHUNK_BYTES = 64 << 20
 
 
-class NoShards(ValueError):
+class NoShards(ShardloreError):
     pass
 
 
@@ -43,16 +44,16 @@ def parse_header(head: bytes, body_at: int, file_bytes: int) -> Iterator[tuple]:
             continue
         begin, end = t["data_offsets"]
         if not 0 <= begin <= end or body_at + end > file_bytes:
-            raise ValueError(f"{name}: data_offsets {begin}, {end} leave the file")
+            raise ShardloreError(f"{name}: data_offsets {begin}, {end} leave the file")
         yield name, t["dtype"], from_file(t["dtype"]), [int(x) for x in t["shape"]], body_at + begin, end - begin
 
 
 def read_header(path: str, length: int) -> tuple[int, bytes]:
     if length < 8:
-        raise ValueError(f"{path}: no header")
+        raise ShardloreError(f"{path}: no header")
     (n,) = struct.unpack("<Q", read_range(path, 0, 8))
     if n > length - 8:
-        raise ValueError(f"{path}: the header is longer than the file")
+        raise ShardloreError(f"{path}: the header is longer than the file")
     return n, read_range(path, 8, n)
 
 
@@ -85,16 +86,16 @@ def file_metadata(spark: SparkSession, directory: str) -> DataFrame:
     return discover(spark, directory).select("path", "length").mapInArrow(run, "path string, key string, value string")
 
 
-def ranges(tensors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Range requests (name, path, chunk_no, at, length) in chunks of chunk_bytes at most; an empty tensor has one empty chunk."""
+def ranges(tensors: DataFrame, chunk_bytes: int = CHUNK_BYTES, *keep: str) -> DataFrame:
+    """Range requests (name, path, chunk_no, at, length, and the columns to keep) in chunks of chunk_bytes at most; an empty tensor has one empty chunk."""
     last = F.greatest(F.lit(0), F.ceil(F.col("size") / chunk_bytes).cast("long") - 1)
-    r = tensors.select("name", "path", "offset", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
+    r = tensors.select("name", "path", "offset", "size", *keep, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
     at = F.col("chunk_no") * chunk_bytes
-    return r.select("name", "path", "chunk_no", (F.col("offset") + at).alias("at"), F.least(F.lit(chunk_bytes), F.col("size") - at).cast("long").alias("length"))
+    return r.select("name", "path", "chunk_no", (F.col("offset") + at).alias("at"), F.least(F.lit(chunk_bytes), F.col("size") - at).cast("long").alias("length"), *keep)
 
 
-def fetch(requests: DataFrame) -> DataFrame:
-    """requests with the bytes they name, one read each, dealt evenly over tasks."""
+def fetch(requests: DataFrame, in_order: bool = False) -> DataFrame:
+    """requests with the bytes they name, one read each, dealt evenly over tasks, or where the requests lie and in their order."""
     at = {c: k for k, c in enumerate(requests.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +106,8 @@ def fetch(requests: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns), data], names=[*b.schema.names, "data"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", data binary"
-    return requests.repartition(requests.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    spread = requests if in_order else requests.repartition(requests.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(run, schema)
 
 
 def read_bytes(tensors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -121,26 +123,50 @@ class _Shard(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, directory: str):
         self.directory = directory
+        self.names: set[str] | None = None
 
     def partitions(self):
-        import pyarrow.fs as pafs
-
-        from .files import store
-
-        fs, p = store(self.directory)
-        found = sorted((f for f in fs.get_file_info(pafs.FileSelector(p)) if f.is_file and f.base_name.endswith(SUFFIX)), key=lambda f: f.base_name.encode())
+        found = [f for f in children(self.directory) if f[1].endswith(SUFFIX)]
         if not found:
             raise NoShards(f"no {SUFFIX} files in {self.directory}")
-        return [_Shard(i, f.path, f.size) for i, f in enumerate(found)]
+        return [_Shard(i, path, size) for i, (path, _, size) in enumerate(found)]
 
     def read(self, partition):
         n, head = read_header(partition.path, partition.length)
         for t in parse_header(head, n + 8, partition.length):
-            yield (partition.index, partition.path, n, partition.length, *t)
+            if self.names is None or t[0] in self.names:
+                yield (partition.index, partition.path, n, partition.length, *t)
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters):
+        """Names asked for are all that is parsed into rows."""
+        for f in filters:
+            asked = wanted(f, "name")
+            if asked is None:
+                yield f
+            else:
+                self.names = asked if self.names is None else self.names & asked
+
+
+def wanted(f, column: str) -> set | None:
+    """The values that an equality or list on a column asks for, else None."""
+    if getattr(f, "attribute", None) != (column,):
+        return None
+    return {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+
+
+def pushes(options) -> bool:
+    """Spark refuses a reader that takes filters where its setting doesn't allow them, so the option asks for one."""
+    return options.get("pushdown", "false").lower() == "true"
 
 
 class FlatShards(DataSource):
-    """spark.dataSource.register(FlatShards); spark.read.format("flat_shards").load(directory) is the catalogue. The option engine is taken and has no effect: Spark schedules the reads."""
+    """spark.dataSource.register(FlatShards); spark.read.format("flat_shards").load(directory) is the catalogue. With the option pushdown, which needs
+    spark.sql.python.filterPushdown.enabled, a filter on name goes to the reader.
+
+    Writing takes rows (name, file_dtype, shape, data): each task writes shards of its rows, of max_shard_bytes (256 MB unless
+    set) or one tensor; they take their names when all tasks are done. The option engine is taken and has no effect."""
 
     @classmethod
     def name(cls):
@@ -150,4 +176,9 @@ class FlatShards(DataSource):
         return CATALOG
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return (_PushingReader if pushes(self.options) else _Reader)(self.options["path"])
+
+    def writer(self, schema, overwrite):
+        from .sinks import ShardWriter
+
+        return ShardWriter(self.options["path"], int(self.options.get("max_shard_bytes", 256 << 20)), overwrite)

@@ -10,16 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
+from ..errors import ShardloreError
 from ..functions.dtypes import canonical, parse
 from ..functions.scalars import partition_file
 from . import flat
-from .files import exists, listing, read_range, store
+from .files import exists, listing, read_file
 
 INDEX, DATA = "tensor_index.json", "tensor.data_"
 ENTRY = "name string, offset long, size long, shape array<long>, stride array<long>, dtype string, partition_id int"
 
 
-class BadIndex(ValueError):
+class BadIndex(ShardloreError):
     pass
 
 
@@ -99,17 +100,33 @@ def read_bytes(spark: SparkSession, directory: str, names: list[str] | None = No
 class _Reader(DataSourceReader):
     def __init__(self, directory: str):
         self.directory = directory
+        self.asked: dict[str, set] = {}
 
     def read(self, partition):
-        path = f"{self.directory.rstrip('/')}/{INDEX}"
-        fs, p = store(path)
-        size = fs.get_file_info(p).size
-        for n, e in json.loads(read_range(path, 0, size)).items():
-            yield parse_entry(n, e)
+        names, ids = self.asked.get("name"), self.asked.get("partition_id")
+        for n, e in json.loads(read_file(f"{self.directory.rstrip('/')}/{INDEX}")).items():
+            if names is None or n in names:
+                row = parse_entry(n, e)
+                if ids is None or row[-1] in ids:
+                    yield row
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters):
+        for f in filters:
+            for column in ("name", "partition_id"):
+                if (values := flat.wanted(f, column)) is not None:
+                    self.asked[column] = self.asked.get(column, values) & values
+                    break
+            else:
+                yield f
 
 
 class TensorIndex(DataSource):
-    """spark.read.format("tensor_index").load(directory)."""
+    """spark.read.format("tensor_index").load(directory). With the option pushdown filters on name and partition_id go to the reader.
+
+    Writing takes rows (name, dtype, shape, data): each task writes a partition file of its rows, and the index follows when
+    all tasks are done."""
 
     @classmethod
     def name(cls):
@@ -119,7 +136,12 @@ class TensorIndex(DataSource):
         return ENTRY
 
     def reader(self, schema):
-        return _Reader(self.options["path"])
+        return (_PushingReader if flat.pushes(self.options) else _Reader)(self.options["path"])
+
+    def writer(self, schema, overwrite):
+        from .sinks import IndexWriter
+
+        return IndexWriter(self.options["path"], overwrite)
 
 
 __all__ = ["BadIndex", "TensorIndex", "decode_index", "encode_entry", "index_text", "located", "parse_entry", "partition_file", "partition_files", "read_bytes", "read_index"]

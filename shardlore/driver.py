@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import convert
 from .functions import dtypes, scalars
 from .operators import catalog as ops
 from .operators import measure, validate
 from .plans import partition
-from .sources import indexed
+from .sources import flat, indexed, sinks
+from .sources.files import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,9 +84,9 @@ def catalog_lookup(spark, d):
     return ops.lookup(doc_tensors(spark, d), F.broadcast(asked)).select("name", "size")
 
 
-@query("SELECT 'doc.' || doc_id AS name FROM labels WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')")
+@query("SELECT 'doc.' || doc_id AS name FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0')")
 def catalog_missing(spark, d):
-    asked = _t(spark, d, "labels").where("doc_id % 2 = 0").select(F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("name"))
+    asked = _t(spark, d, "labels").select(F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("name"))
     return ops.missing(doc_tensors(spark, d).where("path = 'src0'"), asked)
 
 
@@ -245,12 +247,12 @@ def cell_stats(spark, d):
     return measure.cell_stats(measurements(spark, d))
 
 
-_CELLS = f"(SELECT model, format, backend, min(time_ms) AS lo, median(time_ms) AS med, max(time_ms) AS hi FROM {_EV} WHERE error IS NULL AND time_ms % 7 < 1.3 GROUP BY ALL)"
+_CELLS = f"(SELECT model, format, backend, min(time_ms) AS lo, median(time_ms) AS med, max(time_ms) AS hi FROM {_EV} WHERE error IS NULL GROUP BY ALL)"
 
 
 @query(f"SELECT model, format, backend AS backend_a, b AS backend_b, CASE WHEN lo <= bh AND bl <= hi THEN 'OVERLAP' ELSE 'SEPARABLE' END AS verdict FROM (SELECT *, lead(backend) OVER w AS b, lead(lo) OVER w AS bl, lead(hi) OVER w AS bh FROM {_CELLS} WINDOW w AS (PARTITION BY model, format ORDER BY med, backend)) WHERE b IS NOT NULL")
 def separability(spark, d):
-    return measure.separability(measure.cell_stats(measurements(spark, d).where("time_ms % 7 < 1.3")))
+    return measure.separability(measure.cell_stats(measurements(spark, d)))
 
 
 @query(f"SELECT model, format, backend, median_ms FROM (SELECT *, row_number() OVER (PARTITION BY model, format ORDER BY median_ms, backend) AS r FROM (SELECT model, format, backend, median(time_ms) AS median_ms FROM {_EV} WHERE error IS NULL GROUP BY ALL)) WHERE r = 1")
@@ -300,6 +302,51 @@ def decode_stats(spark, d):
     return measure.decode_stats(_t(spark, d, "events").select(F.col("event_type").alias("kind"), F.floor("value").cast("double").alias("value")), "kind")
 
 
+#: Documents lie in so many shards, by their id.
+_SHARDS = 8
+_FILES = f"(SELECT 'doc.' || doc_id AS name, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size, CAST(doc_id % {_SHARDS} AS INTEGER) AS f, sha256(coalesce(text, '')) AS sha FROM documents)"
+
+
+def shards(spark: SparkSession, d: str) -> str:
+    """A folder of real flat shards: a byte tensor for each document, written by the sink."""
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    file = F.concat(F.lit("shard-"), (F.col("doc_id") % _SHARDS).cast("string"), F.lit(flat.SUFFIX))
+    out = shared_dir(spark, "flat")
+    docs = _t(spark, d, "documents").select(file.alias("file"), F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("name"), F.lit("U8").alias("file_dtype"), F.array(F.octet_length(data).cast("long")).alias("shape"), data.alias("data"))
+    sinks.write_flat(docs, out).collect()  # a row a file
+    return out
+
+
+def _sha(chunks: DataFrame) -> DataFrame:
+    """name, sha256 of the bytes that chunks of it make."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk_no", F.hex("data").alias("hex"))))
+    return chunks.groupBy("name").agg(F.sha2(F.unhex(F.array_join(F.transform(parts, lambda x: x["hex"]), "")), 256).alias("sha256"))
+
+
+@query(f"SELECT name, 'shard-' || f || '.safetensors' AS file, f AS file_index, 'u8' AS dtype, CAST(size AS VARCHAR) AS shape, '1' AS stride, size, sha AS sha256 FROM {_FILES}")
+def flat_roundtrip(spark, d):
+    """Shards are written, listed, their headers read, and all bytes read by range in many chunks."""
+    rows = flat.catalog(spark, shards(spark, d))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rows.join(_sha(flat.read_bytes(rows, 4096)), "name").select("name", F.element_at(F.split("path", "/"), -1).alias("file"), "file_index", "dtype", text("shape"), text("stride"), "size", "sha256")
+
+
+@query(f"WITH RECURSIVE {_lpt(_FILES, 5)} SELECT planned.name, planned.size, dest_offset AS \"offset\", partition_id, 'u8' AS dtype, true AS readable, sha AS sha256 FROM planned JOIN {_FILES} x ON x.name = planned.name")
+def convert_roundtrip(spark, d):
+    """Real shards are converted, most tensors in several chunks; the index and all bytes are read again."""
+    source, out = shards(spark, d), shared_dir(spark, "indexed")
+    convert.Converter(5, chunk_bytes=1000).convert(spark, source, out).collect()
+    rows = indexed.located(indexed.read_index(spark, out), indexed.partition_files(spark, out))
+    return rows.join(_sha(indexed.read_bytes(spark, out, chunk_bytes=700)), "name").select("name", "size", "offset", "partition_id", "dtype", "readable", "sha256")
+
+
+@query(f"SELECT f AS file_index, count(*) AS n_tensors, CAST(sum(size) AS BIGINT) AS n_bytes FROM {_FILES} GROUP BY 1")
+def shard_reader(spark, d):
+    """The catalogue through the data source by name."""
+    spark.dataSource.register(flat.FlatShards)
+    return spark.read.format("flat_shards").load(shards(spark, d)).groupBy("file_index").agg(F.count("*").alias("n_tensors"), F.sum("size").alias("n_bytes"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The plan's summary by partition."""
     return partition_plan(spark, d)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import os
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 512 << 20
@@ -30,6 +33,26 @@ def partition_file(pid: Column) -> Column:
     return F.concat(F.lit("tensor.data_"), pid.cast("string"))
 
 
+def next_partition(pid: Column) -> Column:
+    """The number after a partition's; null where 32 bits end."""
+    return F.try_add(pid, F.lit(1))
+
+
+def partition_ids(spark: SparkSession, n: int) -> DataFrame:
+    """partition_id of n partitions, from 0."""
+    if n < 1:
+        raise ValueError("partition count must be 1 at least")
+    return spark.range(n).select(F.col("id").cast("int").alias("partition_id"))
+
+
+def cache_root(variable: str = "SHARDLORE_CACHE_DIR") -> str:
+    """Where converted checkpoints may be kept: what the variable names, else the user's cache folder, else the temporary one."""
+    if named := os.environ.get(variable):
+        return named
+    home = os.environ.get("XDG_CACHE_HOME") or (os.path.join(os.path.expanduser("~"), ".cache") if os.path.expanduser("~") != "~" else tempfile.gettempdir())
+    return os.path.join(home, "shardlore")
+
+
 def auto_partitions(total_bytes: Column, chunk: int = CHUNK) -> Column:
     """One partition per chunk of bytes, one at least."""
     up = total_bytes + F.lit(chunk - 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,13 @@ MODELS = ("Qwen/Qwen3-0.6B", "HuggingFaceTB/SmolLM3-3B", "Qwen/Qwen3-4B", "Qwen/
 HELD_OUT = ("Qwen/Qwen3-8B", "mistralai/Mistral-7B-Instruct-v0.3")
 FORMATS, BACKENDS = ("safetensors", "serverlessllm"), ("sync", "async", "default")
 TARGETED = (("Qwen/Qwen3-14B", "safetensors", "sync"), ("Qwen/Qwen3-14B", "safetensors", "default"), ("Qwen/Qwen3-14B", "serverlessllm", "sync"), ("Qwen/Qwen3-14B", "serverlessllm", "default"), ("Qwen/Qwen3-4B", "serverlessllm", "async"), ("Qwen/Qwen3-4B", "serverlessllm", "default"))
-EXPERIMENTS = ("held-out-validation", "full-anchor-matrix", "targeted-anchors", "hf-native-baseline")
+#: Each experiment's repetitions and cells: lists to multiply, or the cells themselves.
+EXPERIMENTS = {
+    "held-out-validation": (1, {"model": HELD_OUT, "format": FORMATS, "backend": BACKENDS}),
+    "full-anchor-matrix": (5, {"model": MODELS, "format": FORMATS, "backend": BACKENDS}),
+    "targeted-anchors": (5, TARGETED),
+    "hf-native-baseline": (5, {"model": MODELS, "format": FORMATS[:1], "backend": ("hf-native",)}),
+}
 
 
 def matrix(models: DataFrame, formats: DataFrame, backends: DataFrame, reps: int = 1) -> DataFrame:
@@ -34,12 +42,11 @@ def totals(cells: DataFrame) -> DataFrame:
 def experiment(spark: SparkSession, name: str, reps: int = 0) -> DataFrame:
     """Cells of a named experiment. reps over 0 replaces its repetitions, except where its cells are listed one by one."""
     if name not in EXPERIMENTS:
-        raise ValueError(f"Unknown experiment: {name!r}. Valid: {list(EXPERIMENTS)}")
-    if name == "targeted-anchors":
-        return spark.createDataFrame([(*c, 5) for c in TARGETED], "model string, format string, backend string, reps int")
-    own = reps if reps > 0 else (1 if name == "held-out-validation" else 5)
-    lists = {"held-out-validation": (HELD_OUT, FORMATS, BACKENDS), "full-anchor-matrix": (MODELS, FORMATS, BACKENDS), "hf-native-baseline": (MODELS, ("safetensors",), ("hf-native",))}[name]
-    return matrix(*(spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in zip(("model", "format", "backend"), lists, strict=True)), own)
+        raise ValueError(f"there is no experiment {name!r}, only {', '.join(EXPERIMENTS)}")
+    own, cells = EXPERIMENTS[name]
+    listed = not isinstance(cells, dict)
+    rows = cells if listed else product(*cells.values())
+    return spark.createDataFrame([(*c, reps if reps > 0 and not listed else own) for c in rows], "model string, format string, backend string, reps int")
 
 
 def available(cells: DataFrame, capabilities: DataFrame) -> DataFrame:
@@ -77,15 +84,12 @@ def write_tsv(results: DataFrame, path: str, anchor: bool = False) -> None:
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Results of either layout, by their header; blank cells are null, and ERROR rows have their message in error."""
-    lines = spark.read.text(path)
-    head = lines.limit(1).collect()[0][0].split("\t")
-    names = {"ms": "time_ms"}
-    cols = [names.get(c, c) for c in head]
-    cell = lambda c: F.nullif(F.get(F.split("value", "\t"), F.lit(cols.index(c))), F.lit("")) if c in cols else F.lit(None).cast("string")
-    failed = cell("time_ms") == "ERROR"
-    error = F.when(failed, F.get(F.split("value", "\t"), F.lit(len(cols))))
-    return lines.where(F.col("value") != "\t".join(head)).select("value", *(cell(c).alias(c) for c in ("model", "format", "backend")), cell("rep").try_cast("int").alias("rep"), cell("time_ms").try_cast("double").alias("time_ms"), cell("tensors").try_cast("long").alias("tensors"), cell("bytes").try_cast("long").alias("bytes"), error.alias("error")).drop("value")
+    """Results of either layout, each file by its own first line; blank cells are null, and ERROR rows have their message in error. Tables of measurements are small, so a file is one row at first."""
+    files = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    rows = files.select(F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.explode(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line")).where("line <> ''").select("head", F.split("line", "\t").alias("cells"))
+    cell = lambda c: F.nullif(F.get("cells", F.array_position("head", c).cast("int") - 1), F.lit(""))
+    time = F.coalesce(cell("time_ms"), cell("ms"))
+    return rows.select(*(cell(c).alias(c) for c in ("model", "format", "backend")), cell("rep").try_cast("int").alias("rep"), time.try_cast("double").alias("time_ms"), cell("tensors").try_cast("long").alias("tensors"), cell("bytes").try_cast("long").alias("bytes"), F.when(time == "ERROR", F.get("cells", F.size("head"))).alias("error"))
 
 
 def retry_cells(lines: DataFrame) -> DataFrame:

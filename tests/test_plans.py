@@ -82,3 +82,51 @@ def test_first_iteration(spark):
     df = spark.createDataFrame([("a", "iteration 1: 3 tensors, 40 bytes, 1.50ms\niteration 2: 3 tensors, 40 bytes, 2.50ms"), ("b", "failed\nhere")], "k string, text string")
     got = {r.k: (r.tensors, r.time_ms, r.error) for r in measure.first_iteration(df).collect()}
     assert got == {"a": (3, 1.5, None), "b": (None, None, "failed here")}
+
+
+def test_separability_of_apart_and_touching_ranges(spark):
+    cell = lambda b, *ts: [("m", "f", b, t, None) for t in ts]
+    rows = cell("fast", 1.0, 2.0, 3.0) + cell("mid", 3.0, 3.5, 4.0) + cell("slow", 9.0, 9.5) + [("m", "f", "slow", 2.0, "exit 1")] + [("m", "g", "only", 1.0, None)]
+    got = measure.separability(measure.cell_stats(spark.createDataFrame(rows, "model string, format string, backend string, time_ms double, error string"))).collect()
+    assert [(r.backend_a, r.backend_b, r.verdict) for r in sorted(got, key=lambda r: r.backend_a)] == [("fast", "mid", "OVERLAP"), ("mid", "slow", "SEPARABLE")]
+
+
+def test_tables_with_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("model\tformat\tbackend\ttime_ms\ttensors\tbytes\nm\tf\tsync\t1.5\t3\t10\nm\tf\tasync\tERROR\t0\t0\tno disk\nm\tf\tdefault\t\t\t\n")
+    (tmp_path / "b.tsv").write_text("format\tmodel\tbackend\trep\tms\ttensors\tbytes\ng\tk\tsync\t2\t7\t1\t0\n")
+    rows = {(r.model, r.backend): (r.format, r.rep, r.time_ms, r.tensors, r.bytes, r.error) for r in measure.read_tsv(spark, str(tmp_path / "*.tsv")).collect()}
+    assert rows == {("m", "sync"): ("f", None, 1.5, 3, 10, None), ("m", "async"): ("f", None, None, 0, 0, "no disk"), ("m", "default"): ("f", None, None, None, None, None), ("k", "sync"): ("g", 2, 7.0, 1, 0, None)}
+
+
+def test_experiments_run(spark, tmp_path, capsys):
+    import numpy as np
+
+    from shardlore import experiments, model
+    from shardlore.operators.report import Report
+
+    (tmp_path / "qwen-qwen3-8b").mkdir()
+    model.save_flat({"a": np.arange(10, dtype=np.uint8), "b": np.zeros(3, np.float32)}, str(tmp_path / "qwen-qwen3-8b" / "x.safetensors"))
+    good = experiments.run_cell(spark, str(tmp_path / "qwen-qwen3-8b"), "Qwen/Qwen3-8B", "safetensors", "sync", 2, 5)
+    assert [r[3] for r in good] == [6, 7] and all(r[5:] == (2, 22, None) and r[4] > 0 for r in good)
+    bad = experiments.run_cell(spark, str(tmp_path / "none"), "x", "safetensors", "sync", 3)
+    assert len(bad) == 1 and bad[0][3] == 1 and "none" in bad[0][7]
+    assert "unsupported backend" in experiments.run_cell(spark, str(tmp_path / "qwen-qwen3-8b"), "x", "safetensors", "hf-native")[0][7]
+    report = Report(spark, "r").extend(good).add(bad[0])
+    assert (report.successes().count(), report.failures().count()) == (2, 1) and abs(report.success_rate() - 2 / 3) < 1e-9 and report.summary().startswith("r: 2 of 3")
+    assert Report(spark, "e").success_rate() == 0
+    assert experiments.main(["--experiment", "held-out-validation", "--root", str(tmp_path), "--output-dir", str(tmp_path / "out")]) == 2
+    assert "held-out-validation: 3 of 12" in capsys.readouterr().out
+    lines = spark.read.text(str(tmp_path / "out" / "held-out-validation"))
+    assert lines.count() == 13 and measure.retry_cells(lines).count() == 9
+
+
+def test_small_functions(spark, monkeypatch):
+    assert [r.partition_id for r in scalars.partition_ids(spark, 3).collect()] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        scalars.partition_ids(spark, 0)
+    assert [r[0] for r in spark.createDataFrame([(4,), (2**31 - 1,)], "p int").select(scalars.next_partition(F.col("p"))).collect()] == [5, None]
+    monkeypatch.setenv("SHARDLORE_CACHE_DIR", "/x")
+    assert scalars.cache_root() == "/x"
+    monkeypatch.delenv("SHARDLORE_CACHE_DIR")
+    monkeypatch.setenv("XDG_CACHE_HOME", "/y")
+    assert scalars.cache_root() == "/y/shardlore"

@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new path under the folder that spark.checkpoint.dir names. Where that is unset a temporary folder becomes it, as in tests; a cluster, whose executors could not reach it, needs the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="shardlore-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/shardlore-{uuid.uuid4().hex}"
+from ..sources.files import shared_dir
 
 
 def settle(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again, so that its lineage ends there and a lost executor costs no recomputation. unsettle() removes it."""
-    path = shared_dir(df.sparkSession)
+    """Writes df as Parquet into the shared folder and reads it again, so that its lineage ends there and a lost executor costs no recomputation. unsettle() removes it, else the session's end."""
+    path = shared_dir(df.sparkSession, "stage")
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
     out.settled_path = path

@@ -19,6 +19,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import remove_at_exit
 from .common import id_text, input_bytes
 from .textbytes import U64, buffers, mix
 
@@ -124,6 +125,7 @@ def tablets(docs: DataFrame, tablet_bytes: int | None = None, id_col: str = "doc
     made.write.bucketBy(partitions(spark, size), "tablet").format("parquet").saveAsTable(name)
     MADE.append(name)
     out = spark.table(name)
+    remove_at_exit(spark, spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"])
     out.tablets_table, out.log_segments = name, segments(spark, size)
     return out
 

@@ -1,8 +1,8 @@
 """Suffix arrays by induced sorting.
 
-A suffix is of type S if it is smaller than the next one, else L; a leftmost S is an LMS suffix. LMS substrings are sorted by
-inducing from their unsorted ends, named, and sorted recursively as a shorter string, until all names differ; from their order
-all L and then all S suffixes are induced in one sweep each. Over few characters a sweep takes the buckets of first characters in
+A suffix is of type S if it is smaller than the next one, else L; a leftmost S is an LMS suffix. LMS substrings, which are short,
+are sorted and named, and their suffixes sorted recursively as a shorter string, until all names differ; from their order all L
+and then all S suffixes are induced in one sweep each. Over few characters a sweep takes the buckets of first characters in
 order and each bucket's suffixes in waves: a wave's predecessors go to their buckets at once. Over many names, as reduced strings
 have, buckets are short, and the sweep takes suffix by suffix, in one linear pass.
 
@@ -134,6 +134,38 @@ def _induce_each(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> np.nd
     return out
 
 
+def _named(t: np.ndarray, s: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """(rank of each LMS substring among the different ones, their number). Characters go with their types, S above L, so no substring is the beginning of another; as many as fit are compared as one integer, and ties go on behind them."""
+    bits = max(1, int(2 * k - 1).bit_length())
+    width = 63 // bits
+    code = (t << 1) | s
+    size = np.append(np.diff(lms) + 1, 1)
+    order, group, live, at = np.arange(len(lms)), np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while True:
+        i = order[live]
+        word = np.zeros(len(i), np.int64)
+        for d in range(at, at + width):
+            inside = size[i] > d
+            word = (word << bits) | np.where(inside, code[np.minimum(lms[i] + d, len(t) - 1)], 0)
+        by = np.lexsort((word, group[live])) if at else np.argsort(word, kind="stable")
+        i, word = i[by], word[by]
+        order[live] = i
+        held = group[live]
+        fresh = np.append(True, (word[1:] != word[:-1]) | (held[1:] != held[:-1]))
+        # A group's number is the place of its first member.
+        group[live] = live[np.maximum.accumulate(np.where(fresh, np.arange(len(live)), 0))]
+        at += width
+        alone = fresh & np.append(fresh[1:], True)
+        # Equal ones that have ended are one name.
+        live = live[~alone & (size[i] > at)]
+        if not len(live):
+            break
+    first = np.append(True, group[1:] != group[:-1])
+    names = np.empty(len(lms), np.int64)
+    names[order] = np.cumsum(first) - 1
+    return names, int(first.sum())
+
+
 def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     """t: integers from 0; its last one is 0 and no other is. k: one more than the largest."""
     n = len(t)
@@ -141,33 +173,15 @@ def suffix_array(t: np.ndarray, k: int | None = None) -> np.ndarray:
     k = int(t.max()) + 1 if k is None else k
     if n < 3:
         return np.arange(n)[::-1].copy()
-    induce = _induce if k <= MOST_NAMES or k <= n // SHARE else _induce_each
     s = types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
-    sa = induce(t, s, lms, k)
-    is_lms = np.zeros(n, bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    # Equal LMS substrings get one name.
-    index = np.full(n, -1, np.int64)
-    index[lms] = np.arange(len(lms))
-    length = np.append(np.diff(lms) + 1, 1)
-    a, b = order[:-1], order[1:]
-    la = length[index[a]]
-    same = la == length[index[b]]
-    live, d = np.flatnonzero(same), 0
-    while len(live):
-        live = live[la[live] > d]
-        differ = t[a[live] + d] != t[b[live] + d]
-        same[live[differ]] = False
-        live = live[~differ]
-        d += 1
-    name = np.cumsum(np.append(False, ~same))
-    names = np.empty(len(lms), np.int64)
-    names[index[order]] = name
-    if len(lms) and name[-1] + 1 < len(lms):
-        order = lms[suffix_array(names, int(name[-1]) + 1)]
-    return induce(t, s, order, k)
+    names, different = _named(t.astype(np.int64), s, lms, k)
+    if different < len(lms):
+        order = lms[suffix_array(names, different)]
+    else:
+        order = np.empty(len(lms), np.int64)
+        order[names] = lms
+    return (_induce if k <= MOST_NAMES or k <= n // SHARE else _induce_each)(t, s, order, k)
 
 
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:

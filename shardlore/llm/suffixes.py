@@ -3,12 +3,16 @@
 Every string of `length` bytes has an anchor: the k-gram in it whose hash is least, the leftmost of equals. Neighbouring strings
 with one anchor make a piece of text. First pass: tablets ask which anchors occur again anywhere; pieces of anchors that don't
 hold nothing repeated. Second pass: the other pieces go to shards by their anchor's hash, so equal strings meet in one shard. A
-tablet sends equal pieces once, and a shard keeps the earliest of equal pieces. Pieces of an anchor that occurs everywhere are spread by the text beside it too. Each shard builds one suffix array of its pieces
-by induced sorting and its permuted common prefixes; suffixes that share `length` bytes lie side by side, and all but the
-earliest of them are repeats. Third pass: tablets remove the bytes that repeats cover.
+tablet sends equal pieces once, and a shard keeps the earliest of equal pieces. An anchor that occurs often is narrowed first: its
+pieces are cut in two, by whether a string reaches far behind the anchor or far before it, and either half goes by the text that
+all its strings then hold. Narrowed anchors that still have more than MOST different pieces are narrowed again, to the whole
+string at last, so no shard is made large by what many texts share. Each shard builds suffix arrays of its pieces
+by induced sorting and their permuted common prefixes; suffixes that share `length` bytes lie side by side, and all but the
+earliest of them are repeats. Last pass: tablets remove the bytes that repeats cover.
 
 Earlier means a smaller doc_id, or the same document and an earlier start; rows that share a doc_id stand in the order in which they are
-stored. Texts are UTF-8 bytes; null is empty. A null doc_id is larger than any other. An empty table gives no rows."""
+stored. Texts are UTF-8 bytes; null is empty. A null doc_id is larger than any other. A very long text is a tablet of its own. An
+empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -19,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, table, unsettle
 from .sais import permuted_prefixes, suffix_array
-from .tablets import Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, squeeze, tablets
+from .tablets import ANSWER, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, squeeze, tablets
 from .textbytes import U64, mix, octets, pair, slices, span_hashes
 
-ANCHORS, REPEATS, GRAM = 0, 1, 16
-#: Anchors that occur so often, or more, are told apart by the text beside them.
-HOT = 200
+ANCHORS, REPEATS, NARROW, GRAM = 0, 1, 2, 16
+#: Anchors that occur so often, or more, are narrowed, and again while they have more different pieces than MOST.
+HOT, MOST = 200, 4096
 #: A shard is worked through in so many parts, by further bits of the anchors' hashes.
 PART_BITS = 3
 PARTS = 1 << PART_BITS
@@ -76,38 +80,55 @@ class Pieces:
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return distinct(row_cells(self.key, 0, bits), np.ones(len(self.key), np.int64))
 
-    def repeated(self, t: Tablet, length: int, answers: dict, bits: int, log_segments: int) -> np.ndarray:
-        """Keeps the pieces whose anchor occurs again, in order of key, equal ones together; returns which are the first of their kind here."""
+    def narrowed(self, t: Tablet, length: int, answers: dict, bits: int, log_segments: int, levels: int) -> np.ndarray:
+        """Keeps the pieces whose anchor occurs again, and cuts those of frequent anchors, and of what the answers list for each level. Returns which came from the last cut."""
         cells = self.cells(bits)[0]
         got = [expand(answers[ANCHORS, s], np.uint8) for s, _ in segment_sizes(cells, bits, log_segments)]
         count = np.concatenate([np.zeros(0, np.uint8), *got])[np.searchsorted(cells, row_cells(self.key, 0, bits))]
-        if (count >= HOT).any():
-            self._split(t, length, count)
-        else:
-            self._take(count > 1)
+        self._take(count > 1)
+        self.left, self.right = np.zeros(len(self.key), np.int64), np.zeros(len(self.key), np.int64)
+        live = self._cut(t, length, count[count > 1] >= HOT)
+        for level in range(levels):
+            live = self._cut(t, length, live & np.isin(self.key, np.frombuffer(answers.get((NARROW, level), b""), "<u8")))
+        return live
+
+    def ordered(self, t: Tablet, length: int) -> np.ndarray:
+        """Puts pieces in order of key, equal ones together; returns which are the first of their kind here."""
         of = np.searchsorted(t.off, self.first, "right") - 1
         self._take(np.lexsort((self.first, t.ids[of], t.null[of], self.content, self.key)))
         equal = np.append(False, (self.content[1:] == self.content[:-1]) & (self.key[1:] == self.key[:-1]))[: len(self.key)]
         return ~same_text(t.data, self.first, self.last - self.first + length, equal)
 
     def _take(self, i: np.ndarray) -> None:
-        self.first, self.last, self.key, self.content, self.anchor = (x[i] for x in (self.first, self.last, self.key, self.content, self.anchor))
-
-    def _split(self, t: Tablet, length: int, count: np.ndarray) -> None:
-        """Pieces of anchors that are everywhere are cut in two, and go by what stands behind or before the anchor as well: the strings of either half hold that text whole, so equal ones still meet."""
+        for name in ("first", "last", "key", "content", "anchor", "left", "right"):
+            if hasattr(self, name):
+                setattr(self, name, getattr(self, name)[i])
+
+    def _cut(self, t: Tablet, length: int, which: np.ndarray) -> np.ndarray:
+        """Cuts pieces in two. All strings of a piece hold `left` bytes before the anchor and `right` behind it. Of those with some free
+        bytes left, one half reaches half of these farther behind, and the other, which does not, at least as far before. Each
+        goes by what its strings hold now, so equal strings still meet. Returns which pieces are halves."""
         gram = min(GRAM, length)
-        half = (length - gram) // 2
-        hot = np.flatnonzero(count >= HOT)
-        rest = (count > 1) & (count < HOT)
-        spans = lambda begin, end: span_hashes(t.data, begin, end)
-        p, first, last, key = self.anchor[hot], self.first[hot], self.last[hot], self.key[hot]
-        a, b = last >= p - half, first < p - half
-        after = mix(key[a] ^ spans(p[a] + gram, p[a] + gram + half))
-        before = mix(key[b] ^ mix(spans(p[b] - half, p[b]) ^ U64(_PIECE)))
-        begin, end = np.concatenate((np.maximum(first, p - half)[a], first[b])), np.concatenate((last[a], np.minimum(last, p - half - 1)[b]))
-        self.content = np.concatenate((self.content[rest], spans(begin, end + length)))
+        free = length - gram - self.left - self.right
+        cut = np.flatnonzero(which & (free > 0))
+        if not len(cut):
+            return np.zeros(len(self.key), bool)
+        p, first, last, key, left, right = (x[cut] for x in (self.anchor, self.first, self.last, self.key, self.left, self.right))
+        half = (free[cut] + 1) // 2
+        other = free[cut] - half + 1
+        bound = p + gram + right + half - length  # the first start that reaches so far behind
+        a, b = last >= bound, first < bound
+        after = mix(key[a] ^ span_hashes(t.data, (p + gram + right)[a], (p + gram + right + half)[a]))
+        before = mix(key[b] ^ mix(span_hashes(t.data, (p - left - other)[b], (p - left)[b]) ^ U64(_PIECE)))
+        begin, end = np.concatenate((np.maximum(first, bound)[a], first[b])), np.concatenate((last[a], np.minimum(last, bound - 1)[b]))
+        rest = np.ones(len(self.key), bool)
+        rest[cut] = False
+        both = lambda kept, x, y: np.concatenate((kept[rest], x, y))
+        self.content = np.concatenate((self.content[rest], span_hashes(t.data, begin, end + length)))
         self.first, self.last = np.concatenate((self.first[rest], begin)), np.concatenate((self.last[rest], end))
-        self.key, self.anchor = np.concatenate((self.key[rest], after, before)), np.concatenate((self.anchor[rest], p[a], p[b]))
+        self.key, self.anchor = both(self.key, after, before), both(self.anchor, p[a], p[b])
+        self.left, self.right = both(self.left, left[a], (left + other)[b]), both(self.right, (right + half)[a], right[b])
+        return np.arange(len(self.key)) >= int(rest.sum())
 
 
 def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -187,6 +208,47 @@ def find_repeats(length: int):
     return reply
 
 
+def _listed(level: int):
+    """Packs a tablet's keys as an answer of a level."""
+
+    def run(group: pa.Table) -> pa.Table:
+        keys = np.unique(group["key"].to_numpy().astype("<i8"))
+        return pa.table({"tablet": group["tablet"].slice(0, 1), "kind": pa.array([NARROW], pa.int32()), "segment": pa.array([level], pa.int32()), "answer": pa.array([keys.tobytes()], pa.binary())})
+
+    return run
+
+
+def narrow(tabs: DataFrame, known: DataFrame, length: int, bits: int, log_s: int) -> tuple[DataFrame, int]:
+    """(known with the lists of what is to be cut again, by tablet and level; number of these levels). Different pieces are counted exactly, by distinct rows; nothing is gathered by key."""
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if any((expand(x.as_py(), np.uint8) >= HOT).any() for x in b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["hot"])
+
+    levels = 0
+    if known.select("answer").mapInArrow(frequent, "hot int").isEmpty():
+        return known, levels
+    while True:
+
+        def halves(tablet: int, content: bytes, answers: dict, levels=levels) -> pa.RecordBatch:
+            t = Tablet(content, tablet)
+            x = Pieces(t, length)
+            live = x.narrowed(t, length, answers, bits, log_s, levels)
+            both = np.unique(np.stack([x.key[live], x.content[live]], axis=1), axis=0).view(np.int64) if live.any() else np.zeros((0, 2), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), tablet)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["tablet", "key", "content"])
+
+        rows = settle(_each(tabs, halves, known, "tablet long, key long, content long"))
+        large = settle(rows.select("key", "content").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"))
+        if large.isEmpty():
+            unsettle(rows, large)
+            return known, levels
+
+        lists = settle(rows.select("tablet", "key").distinct().join(large, "key").groupBy("tablet").applyInArrow(_listed(levels), ANSWER))
+        unsettle(rows, large)
+        known, levels = known.unionByName(lists), levels + 1
+
+
 def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     tabs = tablets(docs, tablet_bytes, id_col, text_col)
@@ -198,10 +260,12 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | No
         yield from count_blocks(*Pieces(t, length).cells(bits), bits, log_s)
 
     again = settle(answer(ask(tabs, anchors), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
+    again, levels = narrow(tabs, again, length, bits, log_s)
 
     def pieces(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
         x = Pieces(t, length)
-        x._take(x.repeated(t, length, answers, bits, log_s))
+        x.narrowed(t, length, answers, bits, log_s, levels)
+        x._take(x.ordered(t, length))
         doc = np.searchsorted(t.off, x.first, "right") - 1
         ids, null = t.ids[doc], t.null[doc]
         size, at = x.last - x.first + length, 0
@@ -216,7 +280,8 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | No
     def apply(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
         t = Tablet(content, tablet)
         x = Pieces(t, length)
-        new = x.repeated(t, length, answers, bits, log_s)
+        x.narrowed(t, length, answers, bits, log_s, levels)
+        new = x.ordered(t, length)
         count = x.last - x.first + 1
         late = np.ones(int(count.sum()), bool)
         upto = np.append(0, np.cumsum(count[new]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ _PAIR, _LENGTH, _M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE
 #: Spans of more bytes are hashed one by one.
 LONG = 256
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Of the GNU library, where it is the one in use.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -33,6 +36,13 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0] : o[-1]], o - o[0]
 
 
+def release() -> None:
+    """Gives back to the system what this worker has freed: it waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(off: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about limit bytes; a longer document stands alone."""
     a, n = 0, len(off) - 1
@@ -76,26 +86,26 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 17) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, at_once: int = 1 << 17) -> np.ndarray:
     """A hash of data[s:e] for each s and e, of what stands there alone: 8 bytes at a time, and spans over LONG bytes by a library. Some spans at a time, which lie in ascending order."""
     out = np.empty(len(starts), U64)
     for a in range(0, len(starts), at_once):
         s, e = starts[a : a + at_once], ends[a : a + at_once]
         lo = int(s.min())
-        out[a : a + at_once] = _spans(data[lo : int(e.max())], s - lo, e - s)
+        out[a : a + at_once] = _spans(data[lo : int(e.max())], s - lo, e - s, seed)
     return out
 
 
-def _spans(data: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _spans(data: np.ndarray, s: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     by = octets(data)
-    h = mix((by[s] & _MASK[np.minimum(n, 8)]) + n.astype(U64) * U64(_LENGTH))
+    h = mix(mix(by[s] & _MASK[np.minimum(n, 8)]) + n.astype(U64) * U64(_LENGTH) + U64(seed))
     live, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
     while len(live):
         own, left = s[live] + at, n[live] - at
         h[live] = pair(h[live], by[own] & _MASK[np.minimum(left, 8)])
         live, at = live[left > 8], at + 8
     for i in np.flatnonzero(n > LONG).tolist():
-        h[i] = xxhash.xxh3_64_intdigest(data[s[i] : s[i] + n[i]].tobytes())
+        h[i] = xxhash.xxh3_64_intdigest(data[s[i] : s[i] + n[i]].tobytes(), seed)
     return h
 
 

@@ -1,7 +1,8 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece of text encoded once per worker.
 
 The pre-tokeniser of the word-end vocabulary drops white space, never joins what white space separates, takes digits one by
-one, and ends a run of letters or of marks where the other begins. Cutting there changes no id, so ids are looked up by piece."""
+one, and ends a run of letters or of marks where the other begins. Cutting there, and leaving white space out, changes no id, so
+ids are looked up by piece. Pieces that have been seen are known by 128 bits of two hashes, in sorted arrays."""
 
 from __future__ import annotations
 
@@ -9,11 +10,12 @@ import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-from .textbytes import SPACE, buffers, slices
+from .textbytes import SPACE, U64, buffers, release, slices, span_hashes
 
 #: Kinds of bytes: other, white space, small letter, capital, digit, mark, apostrophe.
 OTHER, WHITE, SMALL, CAPITAL, NUMBER, MARK, APOSTROPHE = range(7)
@@ -43,6 +45,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 _LETTERS = _byte_letters()
+#: The second hash of a piece starts here.
+_SEED = 0x2545F4914F6CDD1D
 
 
 def default_vocabulary() -> str:
@@ -52,9 +56,9 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """limit: bytes of distinct pieces kept, with their ids; beyond that the memory starts anew, which changes no result. Texts are encoded in slices of slice_bytes, very long ones in parts."""
+    """limit: bytes of pieces that are remembered, with their ids; beyond that the memory starts anew, which changes no result. Texts are encoded in slices of slice_bytes, very long ones in parts."""
 
-    def __init__(self, path: str | None = None, limit: int = 48 << 20, slice_bytes: int = 1 << 20):
+    def __init__(self, path: str | None = None, limit: int = 32 << 20, slice_bytes: int = 2 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,37 +67,47 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.off = np.zeros(1 << 12, np.int64)
-        self.n = self.held = 0
-
-    def _add(self, pieces: list[str]) -> None:
-        rest, lists = [], {}
-        for p in pieces:
-            word = p.rstrip(" \n")
-            if word.isascii() and word.isalpha():
-                lists[p] = [t.id for t in self.model.tokenize(word)]
-            elif _PLAIN(word):
-                lists[p] = [t.id for t in self.model.tokenize("".join([_LETTERS[b] for b in word.lower().encode()]))]
+        """Sorted hashes of pieces with their second hashes and numbers; where each number's ids start, and the ids."""
+        self.keys, self.checks, self.numbers = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int32)
+        self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    @property
+    def held(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.checks, self.numbers, self.off, self.ids))
+
+    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
+        tokenize, out, rest = self.model.tokenize, [], []
+        for i, p in enumerate(pieces):
+            if p.isascii() and p.isalpha():
+                out.append([t.id for t in tokenize(p)])
+            elif _PLAIN(p):
+                out.append([t.id for t in tokenize("".join([_LETTERS[b] for b in p.lower().encode()]))])
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.tk.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            lists[p] = e.ids
-        lens = np.fromiter(map(len, lists.values()), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists.values() for i in x), np.uint32, int(lens.sum()))
-        for p in lists:
-            self.known[p] = len(self.known)
-        # A piece has about 150 bytes of entry, offset and number beside its letters and ids.
-        self.held += 150 * len(lists) + sum(map(len, lists)) + 4 * len(flat)
-        used = int(self.off[self.n])
-        while len(self.ids) < used + len(flat):
-            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while len(self.off) < self.n + len(lens) + 1:
-            self.off = np.concatenate((self.off, np.zeros_like(self.off)))
-        self.ids[used : used + len(flat)] = flat
-        self.off[self.n + 1 : self.n + len(lens) + 1] = used + np.cumsum(lens)
-        self.n += len(lens)
+                out.append([])
+                rest.append(i)
+        for i, e in zip(rest, self.tk.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each of some different pieces; new ones are encoded."""
+        data, off = buffers(pieces)
+        keys, checks = (span_hashes(data, off[:-1], off[1:], seed) for seed in (0, _SEED))
+        at = np.searchsorted(self.keys, keys)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        known = (self.keys[near] == keys) & (self.checks[near] == checks) if len(self.keys) else np.zeros(len(keys), bool)
+        out = np.empty(len(keys), np.int64)
+        out[known] = self.numbers[near[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            lists = self._ids_of(pieces.take(pa.array(new)).to_pylist())
+            lens = np.fromiter(map(len, lists), np.int64, len(lists))
+            out[new] = len(self.off) - 1 + np.arange(len(new))
+            self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(lens.sum()))))
+            self.off = np.concatenate((self.off, self.off[-1] + np.cumsum(lens)))
+            new = new[np.argsort(keys[new], kind="stable")]
+            self.keys, self.checks, self.numbers = (np.insert(x, at[new], y[new]) for x, y in ((self.keys, keys), (self.checks, checks), (self.numbers, out)))
+        return out
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offset of each text)."""
@@ -157,21 +171,17 @@ class Encoder:
         cut[off[:-1][off[:-1] < len(data)]] = True
         cut[0] = True
         starts = np.flatnonzero(cut)
-        text = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
-        coded = text.dictionary_encode()
-        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ink = kind != WHITE
+        upto = np.append(0, np.cumsum(ink))[np.append(starts, len(data))].astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(upto.tobytes()), pa.py_buffer(data[ink].tobytes())).dictionary_encode()
         if self.held > self.limit:
             self.forget()
-        if new := [p for p in own if p not in self.known]:
-            self._add(new)
-        known = self.known
-        at = np.fromiter((known[p] for p in own), np.int64, len(own))[coded.indices.to_numpy(zero_copy_only=False)]
+        at = self._numbers(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
         begin, count = self.off[at], self.off[at + 1] - self.off[at]
         ends = np.cumsum(count)
         total = int(ends[-1])
         ids = self.ids[np.arange(total, dtype=np.int32) + np.repeat((begin - (ends - count)).astype(np.int32), count)]
-        upto = np.concatenate(([0], ends))[np.searchsorted(starts, off)]
-        return ids, np.diff(upto)
+        return ids, np.diff(np.concatenate(([0], ends))[np.searchsorted(starts, off)])
 
 
 _ENCODERS: dict[str | None, Encoder] = {}
@@ -179,13 +189,11 @@ _ENCODERS: dict[str | None, Encoder] = {}
 
 @contextmanager
 def encoder(path: str | None) -> Iterator[Encoder]:
-    """This worker's encoder, which the vocabulary outlives a task in; of its memory of pieces no more than a third of the limit does."""
+    """This worker's encoder, which outlives a task; its memory is bounded by its limit and a slice's new pieces."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     enc = _ENCODERS[path]
     try:
         yield enc
     finally:
-        if enc.held > enc.limit // 3:
-            enc.forget()
-        pa.default_memory_pool().release_unused()
+        release()

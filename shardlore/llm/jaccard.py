@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import settle, table, unsettle
 from .components import components
 from .tablets import Tablet, _each, answer, ask, cell_bits, count_blocks, discard, distinct, expand, merge_counts, row_cells, segment_sizes, squeeze, tablets
-from .textbytes import U64, lower_ascii, mix, span_hashes, window_hashes, word_bounds
+from .textbytes import U64, lower_ascii, mix, release, slices, span_hashes, window_hashes, word_bounds
 
 COUNTS, MEMBERS = 0, 9
 #: The largest l, the cost of verifying a shingle against that of a posting, and the growth of a class of sizes.
@@ -39,11 +39,23 @@ DEPTHS, VERIFY, CLASS = 4, 0.02, 1.07
 
 
 class Sets:
-    """The distinct shingles of a tablet's documents: hashes sorted within each document."""
+    """The distinct shingles of a tablet's documents, or of some of them: hashes sorted within each document. Slices of documents are taken one after another, which bounds the memory."""
+
+    def __init__(self, t: Tablet, size: int, only: np.ndarray | None = None, slice_bytes: int = 1 << 20):
+        parts, docs = [np.zeros(0, U64)], [np.zeros(0, np.int32)]
+        for a, b in slices(t.off, slice_bytes):
+            if only is None or only[a:b].any():
+                h, doc = self._slice(t.data[t.off[a] : t.off[b]], t.off[a : b + 1] - t.off[a], size, None if only is None else only[a:b])
+                parts.append(h)
+                docs.append((doc + a).astype(np.int32))
+        self.h, self.doc = np.concatenate(parts), np.concatenate(docs)
+        self.n = np.bincount(self.doc, minlength=len(t.ids))
+        self.upto = np.append(0, np.cumsum(self.n))
 
-    def __init__(self, t: Tablet, size: int, only: np.ndarray | None = None):
-        data = lower_ascii(t.data)
-        starts, ends, first = word_bounds(data, t.off)
+    @staticmethod
+    def _slice(data: np.ndarray, off: np.ndarray, size: int, only: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        data = lower_ascii(data)
+        starts, ends, first = word_bounds(data, off)
         h, _, doc = window_hashes(span_hashes(data, starts, ends), first, size, short=True)
         if only is not None:
             keep = only[doc]
@@ -51,9 +63,7 @@ class Sets:
         order = np.lexsort((h, doc))
         h, doc = h[order], doc[order]
         new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])) if len(h) else np.zeros(0, bool)
-        self.h, self.doc = h[new], doc[new]
-        self.n = np.bincount(self.doc, minlength=len(t.ids))
-        self.upto = np.append(0, np.cumsum(self.n))
+        return h[new], doc[new]
 
 
 def _members(answers: dict, n: int) -> np.ndarray:
@@ -194,6 +204,7 @@ def similar(docs: DataFrame, size: int = 5, per_hundred: int = 75, tablet_bytes:
                     shared = int((theirs[np.minimum(at, len(theirs) - 1)] == mine).sum())
                     if 100 * shared >= per_hundred * (len(mine) + len(theirs) - shared):
                         yes.append(i)
+            release()
             return pa.table({"a": pa.array(a[yes], pa.int64()), "b": pa.array(b[yes], pa.int64())})
 
         mail = sent.select("tablet", "key", F.lit(None).cast("long").alias("other"), "body").unionByName(ship.select(F.col("tb").alias("tablet"), F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("body")))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.files import remove_at_exit
 from .common import id_text, input_bytes
-from .textbytes import U64, buffers, mix
+from .textbytes import U64, buffers, mix, release
 
 #: Rows of a tablet at most: a row's key is the tablet's number << 20 and its place.
 MOST_ROWS = 1 << 20
@@ -175,12 +175,15 @@ def _each(tabs: DataFrame, rows: Callable, known: DataFrame | None, schema: str)
             for b in batches:
                 for t, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     yield rows(t, c.as_py())
+                    release()
 
         return tabs.mapInArrow(run, schema)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = {(k, s): a.as_py() for k, s, a in zip(right["kind"].to_pylist(), right["segment"].to_pylist(), right["answer"], strict=True)}
-        return pa.Table.from_batches([rows(t, c.as_py(), answers) for t, c in zip(left["tablet"].to_pylist(), left["content"], strict=True)])
+        out = pa.Table.from_batches([rows(t, c.as_py(), answers) for t, c in zip(left["tablet"].to_pylist(), left["content"], strict=True)])
+        release()
+        return out
 
     return tabs.groupBy("tablet").cogroup(known.groupBy("tablet")).applyInArrow(both, schema)
 
@@ -191,6 +194,7 @@ def answer(requests: DataFrame, reply: Callable[[int, list[bytes]], list[bytes]]
     def run(group: pa.Table) -> pa.Table:
         segment = group["segment"][0].as_py()
         got = reply(segment, [x.as_py() for x in group["block"]])
+        release()
         n = group.num_rows
         return pa.table({"tablet": group["tablet"], "kind": pa.array([kind] * n, pa.int32()), "segment": group["segment"], "answer": pa.array(got, pa.binary())})
 
@@ -239,11 +243,11 @@ def merge_counts(bits: int, log_segments: int, repeated_only: bool) -> Callable[
     """Merges the tablets' sketches of a segment by adding cells up. Answers: whether each asked cell's sum is over 1, as bits, or the sum to 255, as bytes."""
 
     def reply(segment: int, blocks: list[bytes]) -> list[bytes]:
-        total = np.zeros(1 << (bits - log_segments), np.uint16)
+        total = np.zeros(1 << (bits - log_segments), np.uint8)
         for b in blocks:
             cells, counts = _cells(b)
-            total[cells] = np.minimum(total[cells] + counts, 255)
-        return [np.packbits(total[_cells(b)[0]] > 1).tobytes() if repeated_only else squeeze(total[_cells(b)[0]].astype(np.uint8)) for b in blocks]
+            total[cells] = np.minimum(total[cells].astype(np.uint16) + counts, 255)
+        return [np.packbits(total[_cells(b)[0]] > 1).tobytes() if repeated_only else squeeze(total[_cells(b)[0]]) for b in blocks]
 
     return reply
 

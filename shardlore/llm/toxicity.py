@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, lowest, settle, table, unsettle
-from .textbytes import buffers, lower_ascii, slices, span_hashes
+from .textbytes import buffers, lower_ascii, release, slices, span_hashes
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[128:] = True
@@ -177,6 +177,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, tra
             for i, j in slices(off, SLICE):
                 total, _, _ = score(data[off[i] : off[j]], off[i : j + 1] - off[i], names, weights)
                 yield b.slice(i, j - i).filter(pa.array(total < threshold))
+            release()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -192,6 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_l
             for i, j in slices(off, SLICE):
                 total, worst, best = score(data[off[i] : off[j]], off[i : j + 1] - off[i], names, weights)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(total), pa.array(worst), pa.array(best)], names=["doc_id", "score", "worst_at", "worst_score"])
+            release()
 
     out = d.mapInArrow(run, "doc_id long, score double, worst_at long, worst_score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_at", "worst_score")

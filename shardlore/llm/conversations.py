@@ -43,9 +43,10 @@ def parsed(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     return m.withColumn("lines", F.filter("lines", lambda x: ~introduces(x)))
 
 
-def runs(words: Column, step: int) -> Column:
-    """Hashes of the runs of RUN words that start at each step-th word."""
-    return F.when(F.size(words) >= RUN, F.transform(F.sequence(F.lit(1), F.size(words) - (RUN - 1), F.lit(step)), lambda i: F.md5(F.array_join(F.slice(words, i, RUN), " ")))).otherwise(F.expr("cast(array() as array<string>)"))
+def runs(text: Column, step: int) -> Column:
+    """Hashes of the runs of RUN words of a normalised text that start at each step-th word."""
+    none = F.expr("cast(array() as array<string>)")
+    return bound(F.split(text, " "), lambda w: F.when(F.size(w) >= RUN, F.transform(F.sequence(F.lit(1), F.size(w) - (RUN - 1), F.lit(step)), lambda i: F.md5(F.array_join(F.slice(w, i, RUN), " ")))).otherwise(none))
 
 
 def own_text(lines: Column) -> Column:
@@ -62,7 +63,7 @@ def passages(m: DataFrame) -> DataFrame:
     q = q.groupBy("row", "conv_id", "turn", "passage", "level").agg(F.filter(lines, lambda x: x != "").alias("body")).where(F.size("body") > 0)
     q = q.withColumn("norm", F.array_join("body", " ")).withColumn("words", F.size(F.split("norm", " ")))
     short = F.filter(F.array_distinct(F.concat("body", F.array("norm"))), is_short)
-    marks = F.concat(F.transform(F.array_distinct(runs(F.split("norm", " "), 1)), lambda h: F.struct(h.alias("h"), F.lit(RUN).alias("weight"))), F.transform(short, lambda x: F.struct(unit(x).alias("h"), F.size(F.split(x, " ")).alias("weight"))))
+    marks = F.concat(F.transform(F.array_distinct(runs(F.col("norm"), 1)), lambda h: F.struct(h.alias("h"), F.lit(RUN).alias("weight"))), F.transform(short, lambda x: F.struct(unit(x).alias("h"), F.size(F.split(x, " ")).alias("weight"))))
     return q.select("row", "conv_id", "turn", "passage", "level", "words", marks.alias("hashes"))
 
 
@@ -79,7 +80,7 @@ def own_hashes(lines: Column) -> Column:
 
     def of(text: Column) -> Column:
         units = F.transform(F.concat(F.split(text, "\n"), F.split(text, r"(?<=[.!?])\s+"), F.array(text)), normal)
-        return F.array_distinct(F.concat(runs(F.split(normal(text), " "), RUN), F.transform(F.filter(F.array_distinct(units), is_short), unit)))
+        return F.array_distinct(F.concat(runs(normal(text), RUN), F.transform(F.filter(F.array_distinct(units), is_short), unit)))
 
     return bound(own_text(lines), of)
 

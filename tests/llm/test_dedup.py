@@ -57,12 +57,14 @@ def test_common_anchors(data, monkeypatch):
 
     rows, df = data
     monkeypatch.setattr(suffixes, "HOT", 2)
-    own.register_pickle_by_value(suffixes)
-    try:
-        got = suffixes.remove_substrings(df, tablet_bytes=3000).withColumn("sha", F.sha2("kept", 256)).collect()
-    finally:
-        own.unregister_pickle_by_value(suffixes)
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.substrings(rows)
+    for most in (4096, 3, 0):  # no further cuts, some, and all down to single strings
+        monkeypatch.setattr(suffixes, "MOST", most)
+        own.register_pickle_by_value(suffixes)
+        try:
+            got = suffixes.remove_substrings(df, tablet_bytes=3000).withColumn("sha", F.sha2("kept", 256)).collect()
+        finally:
+            own.unregister_pickle_by_value(suffixes)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.sha) for r in got} == brute.substrings(rows)
 
 
 @pytest.mark.parametrize("tablet_bytes", [4 << 20, 3000])

@@ -420,3 +420,32 @@ def test_links_against_loops(spark):
     got = {(x.conv_id, x.turn): (x.reply_to, x.depth, x.root, x.position) for x in conversations.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()}
     want = quoted(rows)
     assert got == want and max(w[1] for w in want.values()) > 4 and sum(w[0] is not None for w in want.values()) > 150
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert packing.harmonic_pack(none).isEmpty() and planes.read_planes(planes.write_planes(none)).isEmpty() and quality.quality(none, labels).isEmpty()
+    rows = [(i, f"word{i} and more of it. " * (i % 5)) for i in range(30)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = plain.selectExpr("*", "'a' as n_words", "'b' as hash", "'c' as y", "'d' as ids", "'e' as score", "'f' as `row`", "'g' as f_words")
+    for f in (lambda d: quality.quality(d, labels), lambda d: toxicity.toxicity(d, labels), packing.harmonic_pack, lambda d: planes.read_planes(planes.write_planes(d)), secrets.scan):
+        assert sorted(map(str, f(plain).drop("sequence_id", "offset", "class").collect())) == sorted(map(str, f(wide).drop("sequence_id", "offset", "class").collect()))
+
+
+def test_very_long_rows(spark, library):
+    """Texts of over a slice of every operator that works row by row."""
+    text = " ".join(f"word{i % 977} Token{i}" for i in range(75_000))
+    item = " ".join(f"bench{i}" for i in range(20))
+    rows = [(1, text), (2, text[:700_000] + " " + item + " " + text[700_000:]), (3, "x" * 3_000_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    got = packing.harmonic_pack(d).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m")).collect()
+    assert {r.doc_id: r.n for r in got} == {r.doc_id: r.m for r in got} == n
+    assert {r.doc_id: r.n_tokens for r in planes.read_planes(planes.write_planes(d)).collect()} == n
+    hits = {r.doc_id: (r.n_hit, [tuple(s) for s in r.spans]) for r in decontaminate.contamination(d, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    at = len(text[:700_000].split())
+    assert hits[1] == hits[3] == (0, []) and hits[2] == (20, [(at, at + 20)])
+    said = spark.createDataFrame([(1, 0, "u", text), (1, 1, "u", "\n".join("> " + text[k : k + 70] for k in range(0, 700_000, 70)) + "\nyes")], "conv_id long, turn long, role string, text string")
+    assert [(r.reply_to, r.text) for r in conversations.link(said).where("turn = 1").collect()] == [(0, "yes")]
+    assert quality.statistics(d).where("doc_id = 1").first().n_words == 150_000

@@ -3,12 +3,15 @@ for float tensors in files by label, events for measurements."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import convert
+from . import convert, model
 from .functions import dtypes, scalars
 from .operators import catalog as ops
 from .operators import measure, validate
@@ -347,6 +350,79 @@ def shard_reader(spark, d):
     return spark.read.format("flat_shards").load(shards(spark, d)).groupBy("file_index").agg(F.count("*").alias("n_tensors"), F.sum("size").alias("n_bytes"))
 
 
+@query("SELECT CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS n_bytes FROM documents")
+def touched_bytes(spark, d):
+    """What a full read of real shards delivers."""
+    return ops.touched(flat.read_bytes(flat.catalog(spark, shards(spark, d)), 3000))
+
+
+@query(f"WITH RECURSIVE {_lpt(_FILES, 3)} SELECT partition_id, count(*) AS n_tensors, CAST(sum(size) AS BIGINT) AS n_bytes, CAST(sum(size) AS BIGINT) AS file_bytes FROM planned GROUP BY 1")
+def index_reader(spark, d):
+    """A converted folder's index through the data source by name, beside the lengths of its files."""
+    out = convert.ensure_converted(spark, shards(spark, d), shared_dir(spark, "indexed"), 3)
+    spark.dataSource.register(indexed.TensorIndex)
+    rows = spark.read.format("tensor_index").load(out).groupBy("partition_id").agg(F.count("*").alias("n_tensors"), F.sum("size").alias("n_bytes"))
+    return rows.join(indexed.partition_files(spark, out).select("partition_id", F.col("length").alias("file_bytes")), "partition_id")
+
+
+@query("SELECT n_name AS name, layout, CAST(strlen(n_name) AS BIGINT) AS n, md5(n_name) AS md5, ord AS place FROM (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS ord FROM nation), (SELECT unnest(['flat', 'indexed', 'saved']) AS layout)")
+def eager_load(spark, d):
+    """A small model, of a tensor for each nation, loaded whole from flat shards, from an index folder, and from a shard saved in memory."""
+    names = [r["n_name"] for r in _t(spark, d, "nation").select("n_name").collect()]  # 25 rows
+    own = {n: ([len(n.encode())], "uint8", n.encode()) for n in names}
+    folder, out, saved = shared_dir(spark, "flat"), shared_dir(spark, "indexed"), shared_dir(spark, "saved")
+    rows = spark.createDataFrame([(f"{len(n) % 3}.safetensors", n, "U8", s, b) for n, (s, _, b) in own.items()], "file string, name string, file_dtype string, shape array<long>, data binary")
+    sinks.write_flat(rows, folder).collect()
+    convert.Converter(2).convert(spark, folder, out)
+    model.save_flat(own, f"{saved}/one.safetensors", {"made": "by save"})
+    got = {"flat": model.load_flat(spark, folder), "indexed": model.load_indexed(spark, out), "saved": model.open_flat(spark, saved).load()}
+    out = [(name, layout, len(v), hashlib.md5(v.tobytes()).hexdigest(), i) for layout, tensors in got.items() for i, (name, v) in enumerate(tensors.items())]
+    return spark.createDataFrame(out, "name string, layout string, n long, md5 string, place long")
+
+
+@query("SELECT 'emb.' || vec_id AS name, CAST(len(embedding) AS BIGINT) AS n, CAST(list_min(embedding) AS DOUBLE) AS least, CAST(list_max(embedding) AS DOUBLE) AS most, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def tensor_values(spark, d):
+    """Float tensors to bytes, to shards, and back to values, where they lie."""
+
+    def to_bytes(batches):
+        for b in batches:
+            cells = [np.asarray(x, "<f4").tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[len(c) // 4] for c in cells], pa.list_(pa.int64())), pa.array(cells, pa.binary())], names=["name", "shape", "data"])
+
+    def to_values(batches):
+        for b in batches:
+            got = [dtypes.decode(x, kind, shape) for x, kind, shape in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(v) for v in got], pa.int64()), *(pa.array([float(f(v)) for v in got]) for f in (np.min, np.max, lambda v: v[0]))], names=["name", "n", "least", "most", "first"])
+
+    e = _t(spark, d, "embeddings").select(F.concat(F.lit("emb."), F.col("vec_id").cast("string")).alias("name"), "embedding").mapInArrow(to_bytes, "name string, shape array<long>, data binary")
+    folder = shared_dir(spark, "flat")
+    sinks.write_flat(e.select(F.concat(F.lit("e"), (F.xxhash64("name") % 4).cast("string"), F.lit(flat.SUFFIX)).alias("file"), "name", F.lit("F32").alias("file_dtype"), "shape", "data"), folder).collect()
+    rows = flat.catalog(spark, folder)
+    whole = flat.read_bytes(rows).join(rows.select("name", "dtype", "shape"), "name")  # a vector is one chunk
+    return whole.select("name", "dtype", "shape", "data").mapInArrow(to_values, "name string, n long, least double, most double, first double")
+
+
+_NAMES = ("F32", "BF16", "F8_E4M3", "C64", "I64", "bool")
+
+
+@query("SELECT p_partkey AS part, ['F32','BF16','F8_E4M3','C64','I64','bool'][p_partkey % 6 + 1] AS spelling, ['float32','bfloat16','float8_e4m3fn','complex64','int64','bool'][p_partkey % 6 + 1] AS framework, ['f32','bf16','unknown','unknown','i64','unknown'][p_partkey % 6 + 1] AS canonical, ['F32','BF16',NULL,'C64','I64','BOOL'][p_partkey % 6 + 1] AS saved FROM part")
+def dtype_spellings(spark, d):
+    def saved(x):
+        try:
+            return dtypes.saved_spelling(x)
+        except ValueError:
+            return None
+
+    known = spark.createDataFrame([(i, x, dtypes.framework_name(x), dtypes.from_file(x), saved(x)) for i, x in enumerate(_NAMES)], "k long, spelling string, framework string, canonical string, saved string")
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % len(_NAMES)).alias("k")).join(F.broadcast(known), "k").drop("k")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(user_id AS BIGINT) END AS tensors, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id * 7 END AS bytes, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(floor(value) AS DOUBLE) + 0.25 END AS time_ms, CASE WHEN event_id % 4 = 0 THEN 'no disk at all' END AS error FROM events")
+def first_iteration(spark, d):
+    line = F.concat(F.lit("iteration 1: "), F.col("user_id").cast("string"), F.lit(" tensors, "), (F.col("event_id") * 7).cast("string"), F.lit(" bytes, "), F.floor("value").cast("string"), F.lit(".25ms"))
+    return measure.first_iteration(_t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 == 0, F.lit("no disk\nat all")).otherwise(F.concat_ws("\n", F.lit("start"), line, F.lit("iteration 2: 1 tensors, 1 bytes, 1.5ms"))).alias("text")))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The plan's summary by partition."""
     return partition_plan(spark, d)

@@ -29,6 +29,14 @@ def check_backend(backend: str | None) -> None:
         raise ValueError(f"unsupported backend: {backend}")
 
 
+def check_serving(fmt: str, backend: str) -> None:
+    """What a serving engine's loader may be asked for: fewer backends than checkpoints can be opened with."""
+    if fmt not in ("safetensors", "serverlessllm"):
+        raise ValueError(f"unsupported format: {fmt}")
+    if backend not in ("default", "sync", "io_uring"):
+        raise ValueError(f"unsupported backend: {backend}")
+
+
 def tf_device(device: str) -> str:
     """cuda:1 and gpu:1 as /GPU:1; what begins with a slash is as it is."""
     if device.startswith("/"):

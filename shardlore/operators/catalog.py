@@ -55,6 +55,11 @@ def total_bytes(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"), F.count("*").alias("n_files"))
 
 
+def descriptor(files: DataFrame) -> DataFrame:
+    """One row for a checkpoint's files (path, name, length): shards in name order, their number and bytes."""
+    return files.agg(F.sort_array(F.collect_list("name")).alias("shards"), F.count("*").alias("n_shards"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
 def access_order(catalog: DataFrame, order: str = "name", seed: int = 42) -> DataFrame:
     keys = {"name": [F.col("name")], "reverse": [F.desc("name")], "shuffled": [F.xxhash64("name", F.lit(seed)), F.col("name")]}
     if order not in keys:

@@ -130,3 +130,15 @@ def test_small_functions(spark, monkeypatch):
     monkeypatch.delenv("SHARDLORE_CACHE_DIR")
     monkeypatch.setenv("XDG_CACHE_HOME", "/y")
     assert scalars.cache_root() == "/y/shardlore"
+
+
+def test_descriptor_and_serving(spark):
+    from shardlore import model
+    from shardlore.operators import catalog
+
+    files = spark.createDataFrame([("/x/b", "b", 5), ("/x/a", "a", 7)], "path string, name string, length long")
+    assert tuple(catalog.descriptor(files).first()) == (["a", "b"], 2, 12) and tuple(catalog.descriptor(files.limit(0)).first()) == ([], 0, 0)
+    model.check_serving("safetensors", "io_uring")
+    for bad in (("gguf", "sync"), ("safetensors", "async")):
+        with pytest.raises(ValueError, match="unsupported"):
+            model.check_serving(*bad)

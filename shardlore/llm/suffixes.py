@@ -28,9 +28,9 @@ from .sais import permuted_prefixes, suffix_array
 from .tablets import ANSWER, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, squeeze, tablets
 from .textbytes import U64, mix, octets, pair, slices, span_hashes
 
-ANCHORS, REPEATS, NARROW, GRAM = 0, 1, 2, 16
+ANCHORS, REPEATS, NARROW, PIECES, GRAM = 0, 1, 2, 3, 16
 #: Anchors that occur so often, or more, are narrowed, and again while they have more different pieces than MOST.
-HOT, MOST = 200, 4096
+HOT, MOST = 200, 16384
 #: A shard is worked through in so many parts, by further bits of the anchors' hashes.
 PART_BITS = 3
 PARTS = 1 << PART_BITS
@@ -63,19 +63,33 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     new = np.append(True, (anchor[1:] != anchor[:-1]) | (v[1:] != v[:-1] + 1))
     first, last = v[new], v[np.append(new[1:], True)]
     # An anchor's hash is the least of many: only mixed again is it spread evenly over segments and shards.
-    return first, last, mix(h[anchor[new]] ^ U64(_PIECE)), span_hashes(data, first, last + length), anchor[new]
+    return first, last, mix(h[anchor[new]] ^ U64(_PIECE)), anchor[new]
 
 
 class Pieces:
-    """A tablet's pieces: first and last start of their strings, their anchors' hashes and their own. Slices of documents are taken one after another, which bounds the memory."""
+    """A tablet's pieces: first and last start of their strings, their anchors' hashes and places. Slices of documents are taken one after another, which bounds the memory."""
 
-    def __init__(self, t: Tablet, length: int, slice_bytes: int = 1 << 20):
-        parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.uint64, np.int64))]
+    def __init__(self, first: np.ndarray, last: np.ndarray, key: np.ndarray, anchor: np.ndarray):
+        self.first, self.last, self.key, self.anchor = first, last, key, anchor
+
+    @staticmethod
+    def of(t: Tablet, length: int, slice_bytes: int = 1 << 20) -> Pieces:
+        parts = [tuple(np.zeros(0, kind) for kind in (np.int64, np.int64, np.uint64, np.int64))]
         for a, b in slices(t.off, slice_bytes):
             lo, hi = int(t.off[a]), int(t.off[b])
             if hi - lo >= length and (got := _pieces(t.data[lo:hi], t.off[a : b + 1] - lo, length)):
-                parts.append((got[0] + lo, got[1] + lo, got[2], got[3], got[4] + lo))
-        self.first, self.last, self.key, self.content, self.anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+                parts.append((got[0] + lo, got[1] + lo, got[2], got[3] + lo))
+        return Pieces(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def packed(self) -> bytes:
+        return join_blocks([squeeze(x) for x in (np.diff(self.first, prepend=0).astype(np.uint32), (self.last - self.first).astype(np.uint32), self.key, (self.anchor - self.first).astype(np.uint32))])
+
+    @staticmethod
+    def unpacked(answers: dict) -> Pieces:
+        blocks = cut_blocks(answers[PIECES, 0])
+        first, wide, anchor = (expand(blocks[i], np.uint32).astype(np.int64) for i in (0, 1, 3))
+        first = np.cumsum(first)
+        return Pieces(first, first + wide, expand(blocks[2], np.uint64), first + anchor)
 
     def cells(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return distinct(row_cells(self.key, 0, bits), np.ones(len(self.key), np.int64))
@@ -94,13 +108,18 @@ class Pieces:
 
     def ordered(self, t: Tablet, length: int) -> np.ndarray:
         """Puts pieces in order of key, equal ones together; returns which are the first of their kind here."""
+        self.content = self.contents(t, length)
         of = np.searchsorted(t.off, self.first, "right") - 1
         self._take(np.lexsort((self.first, t.ids[of], t.null[of], self.content, self.key)))
         equal = np.append(False, (self.content[1:] == self.content[:-1]) & (self.key[1:] == self.key[:-1]))[: len(self.key)]
         return ~same_text(t.data, self.first, self.last - self.first + length, equal)
 
+    def contents(self, t: Tablet, length: int, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of pieces' texts."""
+        return span_hashes(t.data, self.first[i], self.last[i] + length)
+
     def _take(self, i: np.ndarray) -> None:
-        for name in ("first", "last", "key", "content", "anchor", "left", "right"):
+        for name in ("first", "last", "key", "anchor", "content", "left", "right"):
             if hasattr(self, name):
                 setattr(self, name, getattr(self, name)[i])
 
@@ -124,7 +143,6 @@ class Pieces:
         rest = np.ones(len(self.key), bool)
         rest[cut] = False
         both = lambda kept, x, y: np.concatenate((kept[rest], x, y))
-        self.content = np.concatenate((self.content[rest], span_hashes(t.data, begin, end + length)))
         self.first, self.last = np.concatenate((self.first[rest], begin)), np.concatenate((self.last[rest], end))
         self.key, self.anchor = both(self.key, after, before), both(self.anchor, p[a], p[b])
         self.left, self.right = both(self.left, left[a], (left + other)[b]), both(self.right, (right + half)[a], right[b])
@@ -218,7 +236,7 @@ def _listed(level: int):
     return run
 
 
-def narrow(tabs: DataFrame, known: DataFrame, length: int, bits: int, log_s: int) -> tuple[DataFrame, int]:
+def narrow(tabs: DataFrame, counts: DataFrame, known: DataFrame, length: int, bits: int, log_s: int) -> tuple[DataFrame, int]:
     """(known with the lists of what is to be cut again, by tablet and level; number of these levels). Different pieces are counted exactly, by distinct rows; nothing is gathered by key."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,16 +245,20 @@ def narrow(tabs: DataFrame, known: DataFrame, length: int, bits: int, log_s: int
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["hot"])
 
     levels = 0
-    if known.select("answer").mapInArrow(frequent, "hot int").isEmpty():
+    if counts.select("answer").mapInArrow(frequent, "hot int").isEmpty():
         return known, levels
     while True:
 
         def halves(tablet: int, content: bytes, answers: dict, levels=levels) -> pa.RecordBatch:
             t = Tablet(content, tablet)
-            x = Pieces(t, length)
-            live = x.narrowed(t, length, answers, bits, log_s, levels)
-            both = np.unique(np.stack([x.key[live], x.content[live]], axis=1), axis=0).view(np.int64) if live.any() else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(both), tablet)), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], names=["tablet", "key", "content"])
+            x = Pieces.unpacked(answers)
+            live = np.flatnonzero(x.narrowed(t, length, answers, bits, log_s, levels))
+            key, content = x.key[live], x.contents(t, length, live) if len(live) else np.zeros(0, U64)
+            order = np.lexsort((content, key))
+            key, content = key[order], content[order]
+            new = np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1]))[: len(key)]
+            key, content = key[new].view(np.int64), content[new].view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), tablet)), pa.array(key), pa.array(content)], names=["tablet", "key", "content"])
 
         rows = settle(_each(tabs, halves, known, "tablet long, key long, content long"))
         large = settle(rows.select("key", "content").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("key"))
@@ -257,13 +279,18 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | No
     bits = cell_bits((tabs.agg(F.sum("n_bytes")).first()[0] or 0) // 20, log_s, 16)
 
     def anchors(t: Tablet) -> Iterator[tuple[int, bytes]]:
-        yield from count_blocks(*Pieces(t, length).cells(bits), bits, log_s)
+        x = Pieces.of(t, length)
+        yield -1, x.packed()
+        yield from count_blocks(*x.cells(bits), bits, log_s)
 
-    again = settle(answer(ask(tabs, anchors), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
-    again, levels = narrow(tabs, again, length, bits, log_s)
+    # Pieces are found once; later passes get them with the answers.
+    asked = settle(ask(tabs, anchors))
+    again = settle(answer(asked.where("segment >= 0"), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
+    found = asked.where("segment < 0").select("tablet", F.lit(PIECES).alias("kind"), F.lit(0).alias("segment"), F.col("block").alias("answer"))
+    again, levels = narrow(tabs, again, again.unionByName(found), length, bits, log_s)
 
     def pieces(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
-        x = Pieces(t, length)
+        x = Pieces.unpacked(answers)
         x.narrowed(t, length, answers, bits, log_s, levels)
         x._take(x.ordered(t, length))
         doc = np.searchsorted(t.off, x.first, "right") - 1
@@ -279,7 +306,7 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | No
 
     def apply(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
         t = Tablet(content, tablet)
-        x = Pieces(t, length)
+        x = Pieces.unpacked(answers)
         x.narrowed(t, length, answers, bits, log_s, levels)
         new = x.ordered(t, length)
         count = x.last - x.first + 1

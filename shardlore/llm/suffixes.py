@@ -28,7 +28,7 @@ from .sais import permuted_prefixes, suffix_array
 from .tablets import ANSWER, Tablet, _each, answer, answered_bits, ask, cell_bits, count_blocks, cut_blocks, distinct, expand, join_blocks, merge_counts, row_cells, segment_sizes, squeeze, tablets
 from .textbytes import U64, mix, octets, pair, slices, span_hashes
 
-ANCHORS, REPEATS, NARROW, PIECES, GRAM = 0, 1, 2, 3, 16
+ANCHORS, REPEATS, NARROW, GRAM = 0, 1, 2, 16
 #: Anchors that occur so often, or more, are narrowed, and again while they have more different pieces than MOST.
 HOT, MOST = 200, 16384
 #: A shard is worked through in so many parts, by further bits of the anchors' hashes.
@@ -85,8 +85,8 @@ class Pieces:
         return join_blocks([squeeze(x) for x in (np.diff(self.first, prepend=0).astype(np.uint32), (self.last - self.first).astype(np.uint32), self.key, (self.anchor - self.first).astype(np.uint32))])
 
     @staticmethod
-    def unpacked(answers: dict) -> Pieces:
-        blocks = cut_blocks(answers[PIECES, 0])
+    def unpacked(t: Tablet) -> Pieces:
+        blocks = cut_blocks(t.extra)
         first, wide, anchor = (expand(blocks[i], np.uint32).astype(np.int64) for i in (0, 1, 3))
         first = np.cumsum(first)
         return Pieces(first, first + wide, expand(blocks[2], np.uint64), first + anchor)
@@ -236,7 +236,7 @@ def _listed(level: int):
     return run
 
 
-def narrow(tabs: DataFrame, counts: DataFrame, known: DataFrame, length: int, bits: int, log_s: int) -> tuple[DataFrame, int]:
+def narrow(tabs: DataFrame, known: DataFrame, length: int, bits: int, log_s: int) -> tuple[DataFrame, int]:
     """(known with the lists of what is to be cut again, by tablet and level; number of these levels). Different pieces are counted exactly, by distinct rows; nothing is gathered by key."""
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,13 +245,13 @@ def narrow(tabs: DataFrame, counts: DataFrame, known: DataFrame, length: int, bi
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32())], names=["hot"])
 
     levels = 0
-    if counts.select("answer").mapInArrow(frequent, "hot int").isEmpty():
+    if known.select("answer").mapInArrow(frequent, "hot int").isEmpty():
         return known, levels
     while True:
 
         def halves(tablet: int, content: bytes, answers: dict, levels=levels) -> pa.RecordBatch:
             t = Tablet(content, tablet)
-            x = Pieces.unpacked(answers)
+            x = Pieces.unpacked(t)
             live = np.flatnonzero(x.narrowed(t, length, answers, bits, log_s, levels))
             key, content = x.key[live], x.contents(t, length, live) if len(live) else np.zeros(0, U64)
             order = np.lexsort((content, key))
@@ -273,24 +273,20 @@ def narrow(tabs: DataFrame, counts: DataFrame, known: DataFrame, length: int, bi
 
 def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
-    tabs = tablets(docs, tablet_bytes, id_col, text_col)
+    # Pieces are found once and lie beside their texts.
+    tabs = tablets(docs, tablet_bytes, id_col, text_col, lambda t: Pieces.of(t, length).packed())
     log_s = tabs.log_segments
     log_shards = log_s + 2
     bits = cell_bits((tabs.agg(F.sum("n_bytes")).first()[0] or 0) // 20, log_s, 16)
 
     def anchors(t: Tablet) -> Iterator[tuple[int, bytes]]:
-        x = Pieces.of(t, length)
-        yield -1, x.packed()
-        yield from count_blocks(*x.cells(bits), bits, log_s)
+        yield from count_blocks(*Pieces.unpacked(t).cells(bits), bits, log_s)
 
-    # Pieces are found once; later passes get them with the answers.
-    asked = settle(ask(tabs, anchors))
-    again = settle(answer(asked.where("segment >= 0"), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
-    found = asked.where("segment < 0").select("tablet", F.lit(PIECES).alias("kind"), F.lit(0).alias("segment"), F.col("block").alias("answer"))
-    again, levels = narrow(tabs, again, again.unionByName(found), length, bits, log_s)
+    again = settle(answer(ask(tabs, anchors), merge_counts(bits, log_s, repeated_only=False), ANCHORS))
+    again, levels = narrow(tabs, again, length, bits, log_s)
 
     def pieces(t: Tablet, answers: dict) -> Iterator[tuple[int, bytes]]:
-        x = Pieces.unpacked(answers)
+        x = Pieces.unpacked(t)
         x.narrowed(t, length, answers, bits, log_s, levels)
         x._take(x.ordered(t, length))
         doc = np.searchsorted(t.off, x.first, "right") - 1
@@ -306,7 +302,7 @@ def remove_substrings(docs: DataFrame, length: int = 100, tablet_bytes: int | No
 
     def apply(tablet: int, content: bytes, answers: dict) -> pa.RecordBatch:
         t = Tablet(content, tablet)
-        x = Pieces.unpacked(answers)
+        x = Pieces.unpacked(t)
         x.narrowed(t, length, answers, bits, log_s, levels)
         new = x.ordered(t, length)
         count = x.last - x.first + 1

@@ -57,11 +57,12 @@ def cut_blocks(b: bytes) -> list[bytes]:
 
 
 class Tablet:
-    """ids: doc_ids, 0 where null says that there is none. off: where each text starts in data. number: the tablet's."""
+    """ids: doc_ids, 0 where null says that there is none. off: where each text starts in data. number: the tablet's. extra: what its maker laid beside the texts."""
 
     def __init__(self, content: bytes, number: int = 0):
         self.number = number
-        ids, null, off, data = cut_blocks(content)
+        ids, null, off, data, *more = cut_blocks(content)
+        self.extra = more[0] if more else b""
         self.ids, self.off = expand(ids, np.int64), expand(off, np.int64)
         self.null = np.unpackbits(np.frombuffer(null, np.uint8), count=len(self.ids)).astype(bool)
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8) if data else np.zeros(0, np.uint8)
@@ -79,7 +80,7 @@ def _content(ids: list[np.ndarray], null: list[np.ndarray], texts: list[np.ndarr
     return join_blocks([squeeze(np.concatenate(ids)), np.packbits(np.concatenate(null)).tobytes(), squeeze(off), zstandard.ZstdCompressor(level=1).compress(data.tobytes()) if len(data) else b""])
 
 
-def _cutter(tablet_bytes: int):
+def _cutter(tablet_bytes: int, extra: Callable[[Tablet], bytes] | None):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
         made, size, n, base = 0, 0, 0, TaskContext.get().partitionId() << 20
@@ -87,6 +88,9 @@ def _cutter(tablet_bytes: int):
         def out() -> pa.RecordBatch:
             nonlocal made, size, n
             content, total = _content(*held), size
+            if extra:
+                content = join_blocks([*cut_blocks(content), extra(Tablet(content))])
+                release()
             for x in held:
                 x.clear()
             made, size, n = made + 1, 0, 0
@@ -117,11 +121,11 @@ def usual_bytes(input_size: int) -> int:
     return min(max(4 << 20, math.isqrt(input_size << 14)), 32 << 20)
 
 
-def tablets(docs: DataFrame, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """tablet, n_bytes, content; bucketed by tablet. tablet_bytes: usual_bytes of the input, unless given."""
+def tablets(docs: DataFrame, tablet_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", extra: Callable[[Tablet], bytes] | None = None) -> DataFrame:
+    """tablet, n_bytes, content; bucketed by tablet. tablet_bytes: usual_bytes of the input, unless given. extra: made once of each tablet and kept with it."""
     spark, own = docs.sparkSession, id_text(docs, id_col, text_col)
     name, size = f"shardlore_tablets_{uuid.uuid4().hex}", input_bytes(own)
-    made = own.mapInArrow(_cutter(tablet_bytes or usual_bytes(size)), "tablet long, n_bytes long, content binary")
+    made = own.mapInArrow(_cutter(tablet_bytes or usual_bytes(size), extra), "tablet long, n_bytes long, content binary")
     made.write.bucketBy(partitions(spark, size), "tablet").format("parquet").saveAsTable(name)
     MADE.append(name)
     out = spark.table(name)

@@ -98,7 +98,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def _spans(data: np.ndarray, s: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     by = octets(data)
-    h = mix(mix(by[s] & _MASK[np.minimum(n, 8)]) + n.astype(U64) * U64(_LENGTH) + U64(seed))
+    # The seed enters before the first mixing too, else spans of up to 8 bytes that clash under one seed clash under all.
+    h = mix(mix(by[s] & _MASK[np.minimum(n, 8)] ^ U64(seed)) + n.astype(U64) * U64(_LENGTH) + U64(seed))
     live, at = np.flatnonzero((n > 8) & (n <= LONG)), 8
     while len(live):
         own, left = s[live] + at, n[live] - at

@@ -161,9 +161,10 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)
         kind = KIND[data]
-        # An ASCII capital before an ASCII byte composes with nothing, so it can be lowered before normalisation.
-        capital = kind == CAPITAL
-        capital[:-1] &= data[1:] < 128
+        # An ASCII capital before an ASCII byte or at its text's end, whatever the next text begins with, composes with nothing, so it can be lowered before normalisation.
+        capital, alone = kind == CAPITAL, np.append(data[1:] < 128, True)
+        alone[off[1:] - 1] = True
+        capital &= alone
         data = data | capital.astype(np.uint8) << 5
         # Which pairs of neighbours are cut is a table over both kinds.
         cut = np.empty(len(data), bool)

@@ -49,6 +49,16 @@ def test_random_tokens(library):
         assert ids[off[i] : off[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_beside_others(spark, library):
+    """A capital at a text's end before a text that begins beyond ASCII; and pieces whose 64-bit hashes are equal."""
+    rows = list(enumerate(["THE END", "École", "A", "", None, "\u0301A", "日本 I", "kzdzgjc", "vldrsxbk Z", "ksoyvybw advtvyf É"], 1))
+    want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for _, t in rows]
+    ids, off = tokenise.Encoder().encode(pa.array([t for _, t in rows]))
+    assert [[*ids[a:b].tolist(), 1] for a, b in zip(off[:-1], off[1:])] == want
+    got = planes.read_planes(planes.write_planes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).orderBy("start").collect()
+    assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == [(i + 1, sum(map(len, want[:i])), len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for i, w in enumerate(want)]
+
+
 @pytest.mark.parametrize("capacity", [4096, 64, 1])
 def test_packing(docs, library, capacity):
     rows, df = docs
